@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import binary, bpe, chat, common
+from tidelog.llm import binary, bpe, chat, common, merkle, sharding
 
 #: Where the public vocabularies are; a parameter of the operators.
 def vocabulary(name: str) -> str:
@@ -46,10 +46,21 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_crc(spark, manifest, out)
 
 
+def op4_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(common.table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
+
+
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edit(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_chat_format": op3_chat_format,
+    "op4_label_shards": op4_label_shards,
     "op8_token_files": op8_token_files,
+    "op9_merkle": op9_merkle,
 }
 
 ORACLES: dict[str, str] = {}
