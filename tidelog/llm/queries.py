@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import binary, bpe, chat, common, merkle, sharding
+from tidelog.llm import binary, bpe, chat, common, langid, merkle, sharding, toxicity
 
 #: Where the public vocabularies are; a parameter of the operators.
 def vocabulary(name: str) -> str:
@@ -39,6 +39,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(formatted, path, pattern(), first)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.fit(docs, common.remainder(4) != 2)
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (common.remainder(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     out = common.fresh_path(spark, "token-files")
@@ -55,12 +62,21 @@ def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edit(common.table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), common.remainder(3) != 1)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (common.remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_chat_format": op3_chat_format,
     "op4_label_shards": op4_label_shards,
+    "op5_language": op5_language,
     "op8_token_files": op8_token_files,
     "op9_merkle": op9_merkle,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
