@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import common
 
 #: Distinct runs of text whose ids a worker remembers before it starts anew, and the longest of them.
-REMEMBERED, LONG = 400_000, 64
+REMEMBERED, LONG = 300_000, 64
 #: Bytes of text that one part is made from, about.
 PART_BYTES = 32 << 20
 _NONE = np.iinfo(np.int64).min
@@ -41,9 +41,10 @@ def tokenizer(path: str) -> "RunTokenizer":
 
 
 class RunTokenizer:
-    """Encodes with the tokenizers library, which sees each distinct run between blanks once.
+    """Encodes with the tokenizers library, which sees each distinct run between blanks once while it is remembered.
 
-    Only for tokenizers that drop white space and split at it, as word_bpe_49k does.
+    Only for tokenizers that drop white space and split at it, as word_bpe_49k does.  Runs are remembered with their ids
+    as bytes, so a text is put together by one join; when the younger half of the memory is full the older half goes.
     """
 
     def __init__(self, path: str):
@@ -52,24 +53,34 @@ class RunTokenizer:
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of distinct runs; the library takes them as the words of one text and says which id is whose."""
+        out = dict.fromkeys(runs, b"")
+        for k in range(0, len(runs), 4096):
+            part = runs[k : k + 4096]
+            e = self.own.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            raw, ends = ids.tobytes(), np.searchsorted(word, np.arange(len(part) + 1)) * 4
+            out.update((r, raw[a:b]) for r, a, b in zip(part, ends.tolist(), ends[1:].tolist()))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": np.zeros(0, np.uint32)}
-        new = list({r for runs in split for r in runs if r not in self.known})
-        fresh = {r: tuple(e.ids) for r, e in zip(new, self.own.encode_batch(new, add_special_tokens=False))}
         known = self.known
-        known.update((r, ids) for r, ids in fresh.items() if len(r) <= LONG)
-        fresh = {r: ids for r, ids in fresh.items() if len(r) > LONG}
-        out = []
-        for runs in split:
-            ids: list[int] = []
-            add = ids.extend
-            for r in runs:
-                add(known[r] if r in known else fresh[r])
-            out.append(np.array(ids, np.uint32))
+        new = {r for runs in split for r in set(runs).difference(known)}
+        known.update((r, self.older[r]) for r in new.intersection(self.older))
+        fresh = self.learn([r for r in new if r not in known])
+        long = [r for r in fresh if len(r) > LONG]
+        known.update(fresh)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, runs)), "<u4") for runs in split]
+        for r in long:
+            del known[r]
+        if len(known) > REMEMBERED:
+            self.older, self.known = known, {"": b""}
         return out
 
 
@@ -105,8 +116,9 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, width: int = 2,
             for batch in batches:
                 for b in common.pieces(batch):
                     lists = own.encode([t or "" for t in b.column(1).to_pylist()])
-                    ids = np.concatenate([x for ids in lists for x in (ids, [end_id])]) if lists else np.zeros(0)
-                    if len(ids) and ids.max() >= 1 << 8 * width:
+                    end = np.array([end_id], "<u4")
+                    ids = np.concatenate([x for own_ids in lists for x in (own_ids, end)])
+                    if ids.max() >= 1 << 8 * width:
                         raise ValueError(f"an id needs more than {width} bytes")
                     ends = n_ids + np.cumsum([len(x) + 1 for x in lists], dtype=np.int64)
                     index.append(np.stack([np.array(b.column(0).fill_null(_NONE)), ends], 1).astype("<i8"))

@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,24 +191,24 @@ CELLS = 1 << 14
 
 
 def count_rows(counts: np.ndarray, first: int = 0) -> Iterator[tuple[int, bytes]]:
-    """(chunk, int64 counters) rows of a count array; chunks without a count are left out."""
+    """(chunk, compressed int64 counters) rows of a count array; chunks without a count are left out."""
     for k in range(0, len(counts), CELLS):
         part = counts[k : k + CELLS]
         if part.any():
-            yield first + k // CELLS, part.astype("<i8").tobytes()
+            yield first + k // CELLS, zlib.compress(part.astype("<i8").tobytes(), 1)
 
 
 def _add_up(batches):
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for k, raw in zip(b.column(0).to_pylist(), b.column(1)):
-            x = np.frombuffer(raw.as_buffer(), "<i8")
+            x = np.frombuffer(zlib.decompress(raw.as_buffer()), "<i8")
             if k in sums:
                 sums[k] += x
             else:
                 sums[k] = x.copy()
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
 
 def total_counts(partial: DataFrame, size: int) -> np.ndarray:
@@ -219,6 +220,6 @@ def total_counts(partial: DataFrame, size: int) -> np.ndarray:
     rows = partial.select("chunk", "counts").repartition(min(chunks, 64), "chunk").mapInArrow(_add_up, "chunk int, counts binary")
     out = np.zeros(chunks * CELLS, np.int64)
     for r in rows.collect():  # at most `chunks` rows of fixed size
-        x = np.frombuffer(r.counts, "<i8")
+        x = np.frombuffer(zlib.decompress(r.counts), "<i8")
         out[r.chunk * CELLS : r.chunk * CELLS + len(x)] += x
     return out[:size]

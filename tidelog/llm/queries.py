@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import binary, bpe, chat, common, langid, merkle, sharding, toxicity
+from tidelog.llm import binary, bpe, chat, common, langid, merkle, ngram_join, sharding, toxicity
 
 #: Where the public vocabularies are; a parameter of the operators.
 def vocabulary(name: str) -> str:
@@ -46,6 +46,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (common.remainder(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(common.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     out = common.fresh_path(spark, "token-files")
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_label_shards": op4_label_shards,
     "op5_language": op5_language,
+    "op6_ngram_join": op6_ngram_join,
     "op8_token_files": op8_token_files,
     "op9_merkle": op9_merkle,
     "op10_toxicity": op10_toxicity,
