@@ -6,12 +6,8 @@ the hash of any byte span in constant time, so words, affixes and shingles need
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import tempfile
 import uuid
-import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +17,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.cluster import ship  # noqa: F401  the operators call it as common.ship
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -45,24 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, so that workers import it wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidelog_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="tidelog-code-")  # on the driver, which serves the file to the executors
-    atexit.register(shutil.rmtree, folder, True)
-    path = os.path.join(folder, "tidelog_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(top):
-            for x in names:
-                if x.endswith(".py"):
-                    z.write(os.path.join(d, x), os.path.relpath(os.path.join(d, x), os.path.dirname(top)))
-    sc.addPyFile(path)
-    sc._tidelog_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a folder of its own only where spark.checkpoint.dir is unset."""
     sc = spark.sparkContext
