@@ -56,8 +56,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list
             v |= x[i : size + i] << np.uint32(8 * i)
         v *= np.uint32(2654435761)
         ids.append((v >> np.uint32(32 - BITS)).astype(np.int32) + np.int32(k << BITS))
-        firsts.append(first)
-        ends.append(np.maximum(first, end - n + 1))
+        firsts.append(np.minimum(first, size))
+        ends.append(np.maximum(firsts[-1], end - n + 1))
     return ids, firsts, ends
 
 

@@ -8,9 +8,11 @@ when their sets' Jaccard similarity is num/den or more.
 2. Two bounded sketches count shingles and words of the whole corpus.  They order all shingles from rare to frequent; any
    order gives the same result, this one keeps inverted lists short.
 3. A set of size n can only link to one it shares ceil(num n / den) shingles with, so linked sets share one of their
-   first n - ceil(num n / den) + 1 shingles.  These go to their lists; a list holds a chain for each range of sizes that
-   may link, and only the chain's bounds and smallest class travel, so a list as long as the corpus is still a few rows.
-   Chains connect classes that may link; the components of that graph part the corpus into independent searches.
+   first n - ceil(num n / den) + 1 shingles.  These go to their lists.  Classes that meet in a list may link if their
+   sizes allow it and the counts of their shingles in 128 hash buckets do: the sum of differences is at most the size of the
+   symmetric difference, so the test loses nothing.  Classes that may link are connected, and the components of that graph
+   part the corpus into independent searches.  Of a list's entries in one task beyond LIST_ROWS only bounds travel, so a
+   list as long as the corpus is still a few rows a task.
 4. Within a component the sets meet: the shortest lists of a set are heap-merged, classes that occur there are probed
    in its long lists, and those that reach the required overlap link (DivideSkip).  Classes already connected are
    skipped.  A component too large for one task is cut by size ranges, then into pairs of blocks, which meet in tasks of
@@ -35,6 +37,10 @@ from tidelog.llm import common, graph
 CELLS = 1 << 20
 #: Classes and shingles that one search holds at most; a single set may be larger.
 GROUP_CLASSES, GROUP_SHINGLES = 3000, 3_000_000
+#: Entries of one list that one task sends on singly, and that meet in one task; more are connected by their sizes alone.
+LIST_ROWS, MEET_ROWS = 64, 20_000
+#: Hash buckets whose counts tell apart sets that cannot link.
+BUCKETS = 128
 #: Bits of the filter of classes that may link.
 FILTER_BITS = (1 << 16, 1 << 26)
 _U = common.U64
@@ -81,9 +87,20 @@ def digests(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(common.row_sums(common.mix(sets ^ _U(salt)), at).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
+SIGNATURE = [f"s{i}" for i in range(BUCKETS // 8)]
+
+
+def bucket_counts(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, BUCKETS) counts of each set's hashes by bucket, 255 at most."""
+    rows = len(at) - 1
+    row = np.repeat(np.arange(rows), np.diff(at))
+    counts = np.bincount(row * BUCKETS + (sets >> _U(57)).astype(np.int64), minlength=rows * BUCKETS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(rows, BUCKETS)
+
+
 def _signatures(k: int):
-    names = ["doc_id", "n", "d1", "d2", "chunk", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "d1", "d2", *SIGNATURE, "chunk", "counts"]
+    kinds = [pa.int64()] * (len(names) - 2) + [pa.int32(), pa.binary()]
 
     def run(batches):
         counts = np.zeros(2 * CELLS, np.int64)
@@ -94,10 +111,11 @@ def _signatures(k: int):
                 for base, x in ((0, sets), (CELLS, word)):
                     counts[base : base + CELLS] += np.bincount((x >> _U(44)).astype(np.int64), minlength=CELLS)
                 d1, d2 = digests(sets, at)
-                made = [b.column(0), pa.array(np.diff(at)), pa.array(d1), pa.array(d2)]
-                yield pa.RecordBatch.from_arrays([*made, *(pa.nulls(b.num_rows, t) for t in kinds[4:])], names=names)
+                sig = bucket_counts(sets, at).view(np.int64)
+                made = [b.column(0), pa.array(np.diff(at)), pa.array(d1), pa.array(d2), *(pa.array(sig[:, i].copy()) for i in range(sig.shape[1]))]
+                yield pa.RecordBatch.from_arrays([*made, *(pa.nulls(b.num_rows, t) for t in kinds[-2:])], names=names)
         for chunk, raw in common.count_rows(counts):
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:4]), pa.array([chunk], kinds[4]), pa.array([raw], kinds[5])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:-2]), pa.array([chunk], kinds[-2]), pa.array([raw], kinds[-1])], names=names)
 
     return run
 
@@ -121,32 +139,46 @@ def ranks(h: np.ndarray, word: np.ndarray, where: tuple, k: int, counts: np.ndar
 
 
 def chain(key, lo, hi, node, num: int, den: int):
-    """Joins entries of one list whose sizes may link into chains.
-
-    Gives (key, lo, hi, node) of the chains, node being the smallest, and the (node, smallest) pairs of their members.
-    """
-    order = np.lexsort((lo, key))
+    """Sorts entries by list and size; also gives where a chain of entries whose sizes may link begins."""
+    order = np.lexsort((node, lo, key))
     key, lo, hi, node = key[order], lo[order], hi[order], node[order]
+    twin = np.zeros(len(key), bool)
+    twin[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1]) & (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])
+    key, lo, hi, node = key[~twin], lo[~twin], hi[~twin], node[~twin]
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
     lists = np.cumsum(fresh)
     reach = np.maximum.accumulate(lists * (1 << 32) + hi) - lists * (1 << 32)  # largest size so far in the list
     fresh[1:] |= lo[1:] * den < reach[:-1] * num
+    return (key, lo, hi, node), fresh
+
+
+def collapse(entries, fresh, at_most: int):
+    """Puts chains of more than at_most entries into one entry each, from smallest to largest size, with the smallest node.
+
+    Gives all entries, where their chains begin, and the (node, smallest) pairs of what was put together.
+    """
+    key, lo, hi, node = entries
     at = np.flatnonzero(fresh)
-    if not len(at):
-        return (key, lo, hi, node), (node, node)
+    size = np.diff(np.append(at, len(key)))
+    long = size > at_most
+    if not long.any():
+        return entries, fresh, (node[:0], node[:0])
+    inside = np.repeat(long, size)
     least = np.minimum.reduceat(node, at)
-    to = np.repeat(least, np.diff(np.append(at, len(key))))
-    other = node != to
-    pairs = np.unique(np.stack([node[other], to[other]], 1), axis=0)
-    return (key[at], lo[at], np.maximum.reduceat(hi, at), least), (pairs[:, 0], pairs[:, 1])
+    to = np.repeat(least, size)
+    pairs = np.unique(np.stack([node[inside], to[inside]], 1), axis=0)
+    hi = np.where(inside, np.repeat(np.maximum.reduceat(hi, at), size), hi)
+    node = np.where(inside, to, node)
+    keep = ~inside | fresh
+    return (key[keep], lo[keep], hi[keep], node[keep]), fresh[keep], (pairs[:, 0], pairs[:, 1])
 
 
 _LISTS = pa.schema([("edge", pa.bool_()), ("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("node", pa.int64())])
 
 
-def _rows(chains, pairs):
-    for edge, (key, lo, hi, node) in ((False, chains), (True, (pairs[0], pairs[0], pairs[0], pairs[1]))):
+def _rows(entries, pairs):
+    for edge, (key, lo, hi, node) in ((False, entries), (True, (pairs[0], pairs[0], pairs[0], pairs[1]))):
         for k in range(0, len(key), 1 << 16):
             s = slice(k, k + (1 << 16))
             n = len(key[s])
@@ -158,7 +190,8 @@ def _prefixes(k, num, den, shared):
         counts, held, size = shared.value, [], 0
 
         def flush():
-            return _rows(*chain(*(np.concatenate(x) for x in zip(*held)), num, den))
+            entries, _, pairs = collapse(*chain(*(np.concatenate(x) for x in zip(*held)), num, den), LIST_ROWS)
+            return _rows(entries, pairs)
 
         for batch in batches:
             for b in common.pieces(batch):
@@ -192,9 +225,67 @@ def _merge_lists(num, den):
             if not edge.all():
                 held.append(tuple(b.column(i).to_numpy()[~edge] for i in range(1, 5)))
         if held:
-            _, pairs = chain(*(np.concatenate(x) for x in zip(*held)), num, den)
-            none = np.zeros(0, np.int64)
-            yield from _rows((none, none, none, none), pairs)
+            entries, fresh, pairs = collapse(*chain(*(np.concatenate(x) for x in zip(*held)), num, den), MEET_ROWS)
+            size = np.diff(np.append(np.flatnonzero(fresh), len(fresh)))
+            meet = np.repeat(size > 1, size)
+            key, lo, hi, node = (x[meet] for x in entries)
+            # each chain is a list of its own from here on
+            key = common.mix(key.view(_U) + common.mix(np.cumsum(fresh)[meet].astype(_U))).view(np.int64)
+            yield from _rows((key, lo, hi, node), pairs)
+
+    return run
+
+
+def near(size: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each entry of a list the first entry it is connected with by pairs whose sizes and bucket counts may link."""
+    label = np.full(len(size), -1)
+    for seed in range(len(size)):
+        if label[seed] >= 0:
+            continue
+        label[seed] = seed
+        queue = [seed]
+        while queue:
+            x = queue.pop()
+            other = np.flatnonzero((label < 0) & (size * den >= size[x] * num) & (size * num <= size[x] * den))
+            apart = np.abs(counts[other] - counts[x]).sum(1, dtype=np.int64)
+            hit = other[apart * (den + num) <= (den - num) * (size[other] + size[x])]
+            label[hit] = seed
+            queue += hit.tolist()
+    return label
+
+
+def _meet(num, den):
+    """Streams over (key, lo, hi, node, signature) sorted by key and gives the edges (a, b) of classes that may link."""
+
+    def edges(key, lo, hi, node, sig):
+        counts = np.ascontiguousarray(sig).view(np.uint8).astype(np.int16)
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(at[1:], len(key))
+        pair = (ends - at == 2) & (lo[at] == hi[at]) & (lo[ends - 1] == hi[ends - 1])
+        i = at[pair]
+        apart = np.abs(counts[i] - counts[i + 1]).sum(1, dtype=np.int64)
+        i = i[apart * (den + num) <= (den - num) * (lo[i] + lo[i + 1])]
+        a, b = [node[i]], [node[i + 1]]
+        for s, e in zip(at[~pair].tolist(), ends[~pair].tolist()):
+            boxed = (lo[s:e] != hi[s:e]).any()  # bounds of many classes: connected as they stand
+            label = np.zeros(e - s, np.int64) if boxed else near(lo[s:e], counts[s:e], num, den)
+            a.append(node[s:e])
+            b.append(node[s:e][label])
+        a, b = np.concatenate(a), np.concatenate(b)
+        found = np.unique(np.stack([a[a != b], b[a != b]], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            new = [b.column(i).to_numpy() for i in range(4)] + [np.stack([b.column(4 + i).to_numpy() for i in range(len(SIGNATURE))], 1)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last list may go on
+            if cut > 50_000:
+                yield edges(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield edges(*held)
 
     return run
 
@@ -385,17 +476,25 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     rows = common.texts(docs)
-    signed = common.materialise(rows.mapInArrow(_signatures(k), "doc_id long, n long, d1 long, d2 long, chunk int, counts binary"), "signatures")
+    columns = "".join(f", {c} long" for c in SIGNATURE)
+    signed = common.materialise(rows.mapInArrow(_signatures(k), f"doc_id long, n long, d1 long, d2 long{columns}, chunk int, counts binary"), "signatures")
     counts = common.total_counts(signed.filter("chunk is not null"), 2 * CELLS)
-    signed = signed.filter("chunk is null").select("doc_id", "n", "d1", "d2")
-    alike = signed.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    signed = signed.filter("chunk is null")
+    alike = signed.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.max(c).alias(c) for c in SIGNATURE))
+    alike = common.materialise(alike, "classes")
+    signed = signed.select("doc_id", "n", "d1", "d2")
 
     work = signed.agg(F.sum(F.expr(f"n * {den - num} / {den} + 1"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(work // 1_000_000) + 1)
     shared = spark.sparkContext.broadcast(counts)  # two sketches of fixed size
-    lists = rows.mapInArrow(_prefixes(k, num, den, shared), "edge boolean, key long, lo long, hi long, node long")
-    edges = lists.repartition(tasks, "key").mapInArrow(_merge_lists(num, den), "edge boolean, key long, lo long, hi long, node long")
-    may_link = common.materialise(graph.components(edges.select(F.col("key").alias("a"), F.col("node").alias("b"))), "may-link")
+    shape = "edge boolean, key long, lo long, hi long, node long"
+    lists = rows.mapInArrow(_prefixes(k, num, den, shared), shape)
+    met = common.materialise(lists.repartition(tasks, "key").mapInArrow(_merge_lists(num, den), shape), "met")
+    signs = alike.groupBy("d1").agg(*(F.max(c).alias(c) for c in SIGNATURE))
+    entries = met.filter("not edge").join(signs, F.col("node") == F.col("d1")).select("key", "lo", "hi", "node", *SIGNATURE)
+    edges = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(num, den), "a long, b long")
+    edges = edges.unionByName(met.filter("edge").select(F.col("key").alias("a"), F.col("node").alias("b")))
+    may_link = common.materialise(graph.components(edges), "may-link")
     nodes = may_link.count()
     if nodes:
         bits = spark.sparkContext.broadcast(_filter_of(may_link, nodes))  # FILTER_BITS[1] / 8 bytes at most
@@ -407,7 +506,7 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         alike = alike.join(links.select(F.col("node").alias("rep"), F.col("root").alias("linked")), "rep", "left")
     else:
         alike = alike.withColumn("linked", F.lit(None).cast("long"))
-    joined = alike.filter("copies > 1 or linked is not null").select(F.col("n").alias("n0"), "d1", "d2", F.coalesce("linked", "rep").alias("of"))
+    joined = alike.select("n", "d1", "d2", "rep", "copies", "linked").filter("copies > 1 or linked is not null").select(F.col("n").alias("n0"), "d1", "d2", F.coalesce("linked", "rep").alias("of"))
     out = signed.join(joined, (F.col("n") == F.col("n0")) & (signed.d1 == joined.d1) & (signed.d2 == joined.d2) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("of", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
