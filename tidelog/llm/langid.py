@@ -141,8 +141,13 @@ def fit(docs: DataFrame, learn_from, sample_rows: int = 3000) -> Model:
     return train([r.text for r in sample], [r.lang for r in sample])
 
 
-def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, accepted) and the columns of `carry`; only the text decides."""
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score, accepted); only the text decides."""
+    return _rows(docs, model, ())
+
+
+def _rows(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFrame:
+    """The same with the columns of `carry` as c0, c1, ... so that no name clashes."""
     spark = docs.sparkSession
     common.ship(spark)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *(f"`{c}` as c{i}" for i, c in enumerate(carry)))
@@ -170,12 +175,12 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataF
                 made = [pa.array(names, pa.string()), pa.array(score), pa.array(lettered & (score >= own.threshold))]
                 yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *made], names=["doc_id", *(f"c{i}" for i in range(len(carry))), "lang_pred", "score", "accepted"])
 
-    out = rows.mapInArrow(run, schema)
-    return out.select("doc_id", *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "lang_pred", "score", "accepted")
+    return rows.mapInArrow(run, schema)
 
 
 def keep(docs: DataFrame, learn_from, sample_rows: int = 3000) -> DataFrame:
     """The rows of docs whose text is not rejected, with all their columns."""
     model = fit(docs, learn_from, sample_rows)
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return predict(docs, model, rest).filter("accepted").select(*docs.columns)
+    kept = _rows(docs, model, rest).filter("accepted")
+    return kept.select("doc_id", *(F.col(f"c{i}").alias(c) for i, c in enumerate(rest))).select(*docs.columns)

@@ -202,8 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, per_class: int = 800) ->
     return train([r.text or "" for r in sample], [r.toxic for r in sample])
 
 
-def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, spans) and the columns of `carry`; spans are offsets into the text's UTF-8 bytes."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, spans); spans are offsets into the text's UTF-8 bytes."""
+    return _rows(docs, model, ())
+
+
+def _rows(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFrame:
+    """The same with the columns of `carry` as c0, c1, ... so that no name clashes."""
     spark = docs.sparkSession
     common.ship(spark)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *(f"`{c}` as c{i}" for i, c in enumerate(carry)))
@@ -234,12 +239,12 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(s), spans], names=["doc_id", *(f"c{i}" for i in range(len(carry))), "score", "spans"])
 
-    out = rows.mapInArrow(run, schema)
-    return out.select("doc_id", *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "score", "spans")
+    return rows.mapInArrow(run, schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame, learn_from, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
     model = fit(docs, labels, learn_from)
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return score(docs, model, rest).filter(F.col("score") < threshold).select(*docs.columns)
+    kept = _rows(docs, model, rest).filter(F.col("score") < threshold)
+    return kept.select("doc_id", *(F.col(f"c{i}").alias(c) for i, c in enumerate(rest))).select(*docs.columns)
