@@ -480,3 +480,10 @@ def test_queries_give_a_row_a_document(spark, sf, name):
     else:
         assert sorted(r[0] for r in rows.select("doc_id").collect()) == sorted(r[0] for r in common.table(spark, sf, table).select("doc_id").collect())
     assert rows.filter(F.lit(False)).count() == 0
+
+
+def test_ngram_join_equals_sql(spark, sf, duck):
+    from tidelog.llm.queries import ORACLES
+
+    want = sorted(duck.execute(ORACLES["op6_ngram_join"]).fetchall())
+    assert sorted(map(tuple, QUERIES["op6_ngram_join"](spark, sf).collect())) == want
