@@ -6,7 +6,7 @@ folds embeddings and softmax weights into one small table per language and sums
 texts at a time.
 
 A temperature fitted on a held-back part of the sample calibrates the scores, and the rejection threshold is the score that
-all but a thousandth of its rightly predicted texts reach, one half at most.
+all but a thousandth of its rightly predicted texts reach, CEILING at most.
 
 A null text, or one without a letter, is `und` with score 0 and is rejected; so is everything when no row is labelled.
 Texts are read whole.  Repeated rows are predicted alike.  Further columns are ignored.
@@ -25,6 +25,8 @@ from tidelog.llm import common
 
 ORDERS = (2, 3, 4)
 BITS = 16
+#: The highest threshold of rejection.
+CEILING = 0.4
 _FOLD = common.LOWER.copy()
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
 
@@ -80,7 +82,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 6, rate: float = 1.0, seed: int = 7) -> Model:
+def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
     """Fits the model; each text also gives one excerpt of a few words, so that short texts are learned too."""
     names = tuple(sorted(set(langs)))
     if not names:
@@ -118,7 +120,8 @@ def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 6, r
             back = weights.T @ g
             weights -= lr * np.outer(g, mean)
             bias -= 0.1 * lr * g
-            embed[u] -= (lr * len(u)) ** 0.5 * np.outer(c, back) * 4
+            # a step of fixed length for the mean, however many n-grams share it
+            embed[u] -= 0.5 * lr / (c @ c) * np.outer(c, back)
     model = Model(names, np.ascontiguousarray((embed @ weights.T).T), bias.astype(float), 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else np.arange(len(y))
     z = np.stack([c @ model.cells[:, u].T + model.bias for u, c in (feats[i] for i in check)])
@@ -126,7 +129,7 @@ def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 6, r
     temperature = min((0.1 * 1.25**i for i in range(4, 24)), key=loss)
     p = softmax(z / temperature)
     right = p.max(1)[p.argmax(1) == y[check]]
-    threshold = min(0.5, float(np.quantile(right, 0.001))) if len(right) else 0.5
+    threshold = min(CEILING, float(np.quantile(right, 0.001))) if len(right) else CEILING
     return Model(names, model.cells, model.bias, float(temperature), threshold)
 
 
