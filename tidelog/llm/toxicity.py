@@ -134,7 +134,42 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def distinct(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The first document of each group of near copies, which share the least hash of their five-word windows under one of eight salts.
+
+    Copies of one document are one observation: what they repeat says nothing about what marks toxic documents.
+    """
+    h = words.astype(common.U64)
+    n = np.diff(bounds)
+    size = np.where(n >= 5, n - 4, np.minimum(n, 1))
+    first = np.arange(size.sum()) + np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    length = np.repeat(np.minimum(n, 5), size)
+    window = length.astype(common.U64)
+    for j in range(5):
+        has = length > j
+        window = np.where(has, common.mix(window * common.U64(0x9FB21C651E98DF25) + h[np.where(has, first + j, 0)]), window) if len(h) else window
+    at = np.concatenate([[0], np.cumsum(size)])[:-1]
+    some = np.flatnonzero(size > 0)
+    group = np.arange(len(n))
+    for salt in range(8):
+        if not len(some):
+            break
+        least = np.minimum.reduceat(common.mix(window ^ common.U64(salt)), at[some])
+        _, where, back = np.unique(least, return_index=True, return_inverse=True)
+        for i, k in zip(some.tolist(), some[where[back]].tolist()):
+            a, b = sorted((group[i], group[k]))
+            if a != b:
+                group[group == b] = a
+    return np.unique(group)
+
+
 def train(texts: list[str], labels: list[int], rounds: int = 30, chance: float = 1e-7) -> Model:
+    """Fits the model on the distinct documents among the texts."""
+    if texts:
+        column = pa.array(texts, pa.string())
+        _, _, bounds, feats = tokens(*common.bytes_of(column))
+        own = distinct(feats[:, 0], bounds).tolist()
+        texts, labels = [texts[i] for i in own], [labels[i] for i in own]
     y = np.array(labels, int)
     share = float(y.mean()) if len(y) else 0.0
     none = Model(np.zeros(1 << BITS, np.float32), np.zeros(2), np.zeros((2, 2)), (0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))))
@@ -151,16 +186,14 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, chance: float =
     other_docs = np.bincount(bucket, 1 - y[of], 1 << BITS)
     support = np.log(chance) / np.log(share)
     odds = ((toxic_docs + 0.5) / (y.sum() + 1)) / ((other_docs + 0.5) / ((1 - y).sum() + 1))
-    marked = (toxic_docs >= support) & (odds >= 20) & (toxic_docs >= 10 * other_docs)
+    marked = (toxic_docs >= support) & (odds >= 20) & (toxic_docs >= 20 * other_docs)
+    # many features of exactly the same documents are a passage that those share, not words that mark them
+    where = np.zeros(1 << BITS, common.U64)
+    np.add.at(where, bucket, common.mix(of.astype(common.U64) + common.U64(1)))
+    _, back, size = np.unique(where[marked], return_inverse=True, return_counts=True)
+    marked[np.flatnonzero(marked)[size[back] > 2 * FEATURES]] = False
     target = marked[feats].any(1) & (y[doc] == 1)
-    # the field learns from toxic documents and as many others
-    used = np.zeros(len(y), bool)
-    used[np.flatnonzero(y)] = True
-    used[np.flatnonzero(y == 0)[: int(y.sum())]] = True
-    keep = used[doc]
-    f, t = feats[keep], target[keep].astype(float)
-    b = np.concatenate([[0], np.cumsum(np.diff(bounds)[used])])
-    first = firsts(len(f), b)
+    f, t, first = feats, target.astype(float), firsts(len(feats), bounds)
     weights = np.zeros(1 << BITS)
     start, moves = np.array([0.0, -2.0]), np.array([[0.0, -2.0], [0.0, -1.0]])
     state = t.astype(int)
