@@ -110,7 +110,8 @@ def fit(docs: DataFrame, targets: DataFrame, most: int = VOCABULARY):
         yield from (pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], names=["chunk", "counts"]) for k, raw in common.count_rows(counts))
 
     wanted = targets.select(F.col("doc_id").cast("long").alias("wanted")).filter("wanted is not null").distinct()
-    rows = common.texts(docs).join(wanted, F.col("doc_id") == F.col("wanted"), "left").select("doc_id", "text", F.col("wanted").isNotNull().alias("target"))
+    # a merge join at every size: targets grow with the corpus
+    rows = common.texts(docs).join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"), "left").select("doc_id", "text", F.col("wanted").isNotNull().alias("target"))
     counts = common.total_counts(rows.mapInArrow(run, "chunk int, counts binary"), 2 * width)
     background, target = counts[:size], counts[width : width + size]
     return words, background, target if target.any() else background
