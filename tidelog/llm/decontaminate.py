@@ -186,4 +186,4 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = L
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
     gone = find(docs, items).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")  # what goes grows with the corpus

@@ -518,4 +518,4 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """
     found = classes(docs, k, num, den)
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")  # what goes grows with the corpus
