@@ -55,6 +55,17 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, bounds, made
 
 
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's first token and the feature buckets of all tokens, made a block of texts at a time."""
+    made, sizes = [np.empty((0, FEATURES), np.int32)], []
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for b in common.pieces(batch):
+        _, _, bounds, feats = tokens(*common.bytes_of(b.column(1)))
+        made.append(feats)
+        sizes += np.diff(bounds).tolist()
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.concatenate(made)
+
+
 def _chain(emission: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """(4, STEPS, lanes) matrices m00 m01 m10 m11 of every token, padded by identities."""
     n = len(emission)
@@ -130,6 +141,26 @@ def summary(toxic: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def emissions(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(feats))
+    for k in range(FEATURES):
+        out += weights[feats[:, k]]
+    return out
+
+
+def _in_blocks(weights, feats, bounds, start, moves, at_most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """marginals of many documents, about at_most tokens at a time."""
+    p, moved = np.empty(len(feats)), np.zeros((2, 2))
+    i = 0
+    while i < len(bounds) - 1:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + at_most, side="right")) - 1)
+        s = slice(bounds[i], bounds[j])
+        p[s], m = marginals(emissions(weights, feats[s]), firsts(bounds[j] - bounds[i], bounds[i : j + 1] - bounds[i]), start, moves)
+        moved += m
+        i = j
+    return p, moved
+
+
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -166,8 +197,7 @@ def distinct(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[int], rounds: int = 30, chance: float = 1e-7) -> Model:
     """Fits the model on the distinct documents among the texts."""
     if texts:
-        column = pa.array(texts, pa.string())
-        _, _, bounds, feats = tokens(*common.bytes_of(column))
+        bounds, feats = tokens_of(texts)
         own = distinct(feats[:, 0], bounds).tolist()
         texts, labels = [texts[i] for i in own], [labels[i] for i in own]
     y = np.array(labels, int)
@@ -175,21 +205,20 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, chance: float =
     none = Model(np.zeros(1 << BITS, np.float32), np.zeros(2), np.zeros((2, 2)), (0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))))
     if share in (0.0, 1.0):
         return none
-    column = pa.array(texts, pa.string())
-    data, offsets = common.bytes_of(column)
-    _, _, bounds, feats = tokens(data, offsets)
+    bounds, feats = tokens_of(texts)
     doc = np.repeat(np.arange(len(y)), np.diff(bounds))
     # in how many toxic and other documents each feature occurs
-    pairs = np.unique((feats.astype(np.int64) * len(y) + doc[:, None]).ravel())
-    bucket, of = pairs // len(y), pairs % len(y)
-    toxic_docs = np.bincount(bucket, y[of], 1 << BITS)
-    other_docs = np.bincount(bucket, 1 - y[of], 1 << BITS)
+    toxic_docs, other_docs, where = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS, common.U64)
+    for k in range(FEATURES):
+        pairs = np.unique(feats[:, k].astype(np.int64) * len(y) + doc)
+        bucket, of = pairs // len(y), pairs % len(y)
+        toxic_docs += np.bincount(bucket, y[of], 1 << BITS)
+        other_docs += np.bincount(bucket, 1 - y[of], 1 << BITS)
+        np.add.at(where, bucket, common.mix(of.astype(common.U64) + common.U64(1)))
     support = np.log(chance) / np.log(share)
     odds = ((toxic_docs + 0.5) / (y.sum() + 1)) / ((other_docs + 0.5) / ((1 - y).sum() + 1))
     marked = (toxic_docs >= support) & (odds >= 20) & (toxic_docs >= 20 * other_docs)
     # many features of exactly the same documents are a passage that those share, not words that mark them
-    where = np.zeros(1 << BITS, common.U64)
-    np.add.at(where, bucket, common.mix(of.astype(common.U64) + common.U64(1)))
     _, back, size = np.unique(where[marked], return_inverse=True, return_counts=True)
     marked[np.flatnonzero(marked)[size[back] > 2 * FEATURES]] = False
     target = marked[feats].any(1) & (y[doc] == 1)
@@ -201,8 +230,10 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, chance: float =
     begun = np.bincount(state[first], minlength=2)
     sq, sq_start, sq_moves = np.full(1 << BITS, 1e-3), np.full(2, 1e-3), np.full((2, 2), 1e-3)
     for _ in range(rounds if len(f) else 0):
-        p, moved = marginals(weights[f].sum(1), first, start, moves)
-        g = np.bincount(f.ravel(), np.repeat(t - p, FEATURES), 1 << BITS) - 0.01 * weights
+        p, moved = _in_blocks(weights, f, bounds, start, moves)
+        g = -0.01 * weights
+        for k in range(FEATURES):
+            g += np.bincount(f[:, k], t - p, 1 << BITS)
         q = p[first].sum()
         g_start = begun - np.array([first.sum() - q, q])
         g_moves = pair - moved
@@ -211,7 +242,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, chance: float =
         start = start + 0.3 * g_start / np.sqrt(sq_start)
         moves = moves + 0.3 * g_moves / np.sqrt(sq_moves)
     made = Model(weights.astype(np.float32), start, moves, (0.0, 0.0, 0.0))
-    p, _ = marginals(made.weights[feats].sum(1, dtype=np.float64), firsts(len(feats), bounds), start, moves)
+    p, _ = _in_blocks(made.weights, feats, bounds, start, moves)
     x = np.column_stack([summary(p, bounds), np.ones(len(y))])
     w = np.zeros(3)
     for _ in range(50):  # Newton's method with a small ridge
@@ -257,10 +288,7 @@ def _rows(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFrame:
                 data, offsets = common.bytes_of(b.column(1))
                 start, end, bounds, feats = tokens(data, offsets)
                 first = firsts(len(start), bounds)
-                emission = np.zeros(len(start))
-                for k in range(FEATURES):
-                    emission += own.weights[feats[:, k]]
-                p, _ = marginals(emission, first, own.start, own.moves)
+                p, _ = marginals(emissions(own.weights, feats), first, own.start, own.moves)
                 x = summary(p, bounds)
                 s = _sigmoid(x @ np.array(own.logistic[:2]) + own.logistic[2])
                 bad = p >= 0.5
