@@ -142,7 +142,7 @@ def test_chat_reads_back(spark):
 # --- 4
 
 
-@pytest.mark.parametrize("n, copies", [(500, 12), (7, 2), (0, 0), (300, 150)])
+@pytest.mark.parametrize("n, copies", [(500, 12), (7, 2), (0, 0), (300, 150), (2400, 1100)])
 def test_shards(spark, n, copies):
     r = random.Random(n)
     texts = [f"text {i % max(1, n // 3) if i % 4 == 0 else i}" for i in range(n)]

@@ -7,8 +7,9 @@ to demand, which needs no order among them.  At the end whole shards are made ev
 documents first, goes to shards that lack rows.  So the counts are at most one apart, and a group is cut only where it
 must be.
 
-No group is gathered in one task: groups are counted per shard (at most `shards` rows each) and only counts are joined
-back.  Slots come from counts per (shard, bucket) and a rank within each bucket of bounded expected size.
+No group is gathered in one task: groups are counted per shard (at most `shards` rows each), only counts are joined back, and
+the rows of a group that holds a thousandth of the corpus or more are salted for those joins; there are at most a thousand
+such groups, which bounds what is broadcast.  Slots come from counts per (shard, bucket) and a rank within each bucket of bounded expected size.
 
 A null text has size 16, the checksum of no bytes, and is linked with the empty text.  Null and repeated doc_ids keep all
 their rows.  An empty table gives an empty result.  Further columns are ignored.
@@ -27,6 +28,17 @@ from tidelog.llm import common
 BUCKET_ROWS = 50_000
 
 
+#: Salts of a large group's rows.
+SALTS = 64
+
+
+def _salted(groups: DataFrame, large: DataFrame) -> DataFrame:
+    """One row a salt for the groups in `large` (own), and salt 0 for the others."""
+    known = groups.join(F.broadcast(large.withColumnRenamed("own", "big")), F.col("own") == F.col("big"), "left")  # a thousand rows at most
+    salts = F.when(F.col("big").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return known.withColumn("own_salt", F.explode(salts)).drop("big")
+
+
 def _chance(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
@@ -42,8 +54,8 @@ def start(docs: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def propagate(linked: DataFrame, total: int, shards: int, round_no: int) -> tuple[DataFrame, int]:
-    """One round of moves among (…, group, shard) rows that have a partner; also gives the number of rows that move."""
+def propagate(linked: DataFrame, large: DataFrame, total: int, shards: int, round_no: int) -> tuple[DataFrame, int]:
+    """One round of moves among (…, group, salt, shard) rows that have a partner; also gives the number of rows that move."""
     capacity = -(-total // shards)
     per_shard = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
     order = Window.partitionBy("group").orderBy(F.desc("n"), F.xxhash64("group", "shard"))  # at most `shards` rows a group
@@ -55,10 +67,10 @@ def propagate(linked: DataFrame, total: int, shards: int, round_no: int) -> tupl
         .withColumnRenamed("group", "own")
     )
     at = F.pmod(F.xxhash64("doc_id", F.lit(round_no)), F.size("targets")).cast("int")
-    wishes = linked.join(wanted, F.col("group") == F.col("own")).withColumn(
+    wishes = linked.join(_salted(wanted, large), (F.col("group") == F.col("own")) & (F.col("salt") == F.col("own_salt"))).withColumn(
         "to", F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(F.element_at("targets", at + 1))
     )
-    wishes = common.materialise(wishes.drop("own"), "wishes")
+    wishes = common.materialise(wishes.drop("own", "own_salt"), "wishes")
     load = {r.shard: r.n for r in wishes.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
     demand = {r.to: r.n for r in wishes.filter("to <> shard").groupBy("to").agg(F.count("*").alias("n")).collect()}
     passing = [min(1.0, max(0, capacity - load.get(j, 0)) / demand[j]) if demand.get(j) else 1.0 for j in range(shards)]
@@ -72,16 +84,21 @@ def propagate(linked: DataFrame, total: int, shards: int, round_no: int) -> tupl
 def assign(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, linked, home): every document's shard and gapless place in it; home is where it began."""
     rows = common.materialise(start(docs, shards).withColumn("home", F.col("shard")), "shard-rows")
-    shared = rows.groupBy("group").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("group").alias("own"))
     total = rows.count()
-    flagged = rows.join(shared, F.col("group") == F.col("own"), "left").withColumn("linked", F.col("own").isNotNull()).drop("own")
+    shared = common.materialise(rows.groupBy("group").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("group").alias("own"), "copies"), "shard-groups")
+    large = common.materialise(shared.filter(F.col("copies") >= max(1000, -(-total // 1000))).select("own"), "shard-large")
+    shared = shared.select("own")
+    rows = rows.join(F.broadcast(large.withColumnRenamed("own", "big")), F.col("group") == F.col("big"), "left")  # a thousand rows at most
+    rows = rows.withColumn("salt", F.when(F.col("big").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("big")
+    flagged = rows.join(_salted(shared, large), (F.col("group") == F.col("own")) & (F.col("salt") == F.col("own_salt")), "left")
+    flagged = flagged.withColumn("linked", F.col("own").isNotNull()).drop("own", "own_salt")
     flagged = common.materialise(flagged, "shard-flagged")
     linked = flagged.filter("linked")
     for k in range(rounds):
-        linked, moving = propagate(linked, total, shards, k)
+        linked, moving = propagate(linked, large, total, shards, k)
         if not moving:
             break
-    placed = common.materialise(flagged.filter("not linked").unionByName(linked).drop("group"), "shard-placed")
+    placed = common.materialise(flagged.filter("not linked").unionByName(linked).drop("group", "salt"), "shard-placed")
     return balance(placed, total, shards)
 
 
