@@ -187,3 +187,19 @@ def test_config():
     for bad in ({"max_memory": 100, "memtable_max": 60, "block_cache_max": 50}, {"wal_batch": 0}):
         with pytest.raises(StoreError, match="INVALID_CONFIGURATION"):
             StoreConfig(**bad)
+
+
+def test_tracker_releases_and_backpressure_waits():
+    b = simulate.Budget(100)
+    with simulate.Tracker(b, "cache") as t:
+        t.allocate(70)
+        assert (t.used, b.used) == (70, 70)
+    assert b.used == 0
+    p = simulate.Backpressure(100)
+    p.signal(50)
+    p.wait(0)
+    p.signal(150)
+    with pytest.raises(StoreError, match="WRITE_BACKPRESSURE"):
+        p.wait(0.03)
+    p.complete()
+    assert p.can_write() and p.lag_ms == 0

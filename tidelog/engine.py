@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import enum
+import threading
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from tidelog.errors import StoreError
 from tidelog.model import CHANGELOG, DELETE, PUT, normalise
 from tidelog.operators import resolve
 from tidelog.operators.runs import RunStore
+from tidelog.operators.simulate import Backpressure
 
 
 class State(enum.Enum):
@@ -28,6 +31,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, config: StoreConfig | None = None):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or StoreConfig()
         self.state, self.next_seq = State.INITIALIZING, 0
+        self.backpressure = Backpressure(self.config.backpressure_lag_ms)
 
     def start(self) -> "Store":
         self.state = State.RECOVERING
@@ -66,6 +70,7 @@ class Store:
     def append(self, changes: DataFrame) -> None:
         """Appends a changelog (seq, op, key, value); its seqs order the batch, and the store numbers them on from its last."""
         self._ready()
+        self.backpressure.wait()
         top = changes.agg(F.max("seq"), F.min("seq")).first()
         if top[0] is None:
             return
@@ -103,8 +108,23 @@ class Store:
         return True
 
     def compact(self) -> bool:
+        """Merges all runs; other threads' writes wait once that takes longer than the lag allowed."""
         self._ready()
-        return self.runs.compact()
+        began = time.monotonic()
+        done = threading.Event()
+
+        def lag() -> None:
+            while not done.wait(1):
+                self.backpressure.signal(int(1000 * (time.monotonic() - began)))
+
+        watch = threading.Thread(target=lag, daemon=True)
+        watch.start()
+        try:
+            return self.runs.compact()
+        finally:
+            done.set()
+            watch.join()
+            self.backpressure.complete()
 
     # --- reads
 

@@ -6,6 +6,7 @@ parallel and none grows with the data.
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
 
 import pandas as pd
@@ -105,6 +106,54 @@ class Budget:
             self.by_component[component] -= n
 
 
+class Tracker:
+    """A component's own view of a budget; leaving its scope releases what it holds."""
+
+    def __init__(self, budget: Budget, component: str):
+        self.budget, self.component = budget, component
+        budget.register(component)
+
+    @property
+    def used(self) -> int:
+        return self.budget.by_component[self.component]
+
+    def allocate(self, n: int) -> None:
+        self.budget.allocate(self.component, n)
+
+    def release(self, n: int) -> None:
+        self.budget.release(self.component, n)
+
+    def __enter__(self) -> "Tracker":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.release(self.used)
+
+
+class Backpressure:
+    """Lets writers through while compaction lags by less than a threshold."""
+
+    def __init__(self, threshold_ms: int):
+        self.threshold_ms, self.lag_ms = threshold_ms, 0
+
+    def signal(self, lag_ms: int) -> None:
+        self.lag_ms = lag_ms
+
+    def complete(self) -> None:
+        self.lag_ms = 0
+
+    def can_write(self) -> bool:
+        return self.lag_ms < self.threshold_ms
+
+    def wait(self, timeout_s: float | None = None, poll_s: float = 0.01) -> None:
+        """Returns as soon as writes may pass; raises WRITE_BACKPRESSURE if they may not within the timeout."""
+        end = None if timeout_s is None else time.monotonic() + timeout_s
+        while not self.can_write():
+            if end is not None and time.monotonic() >= end:
+                raise StoreError("WRITE_BACKPRESSURE", f"compaction lags by {self.lag_ms} ms")
+            time.sleep(poll_s)
+
+
 def budget_by_component(allocations: DataFrame) -> DataFrame:
     """(component, bytes_used) of an allocation log (component, delta); component null is the total."""
     return allocations.rollup("component").agg(F.sum("delta").cast("long").alias("bytes_used"))
