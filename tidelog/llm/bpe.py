@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tidelog.llm import common
 
 #: Distinct strings in each generation of a worker's memory.
-REMEMBERED = 200_000
+REMEMBERED = 130_000
 #: Characters of the longest string whose ids are remembered.
 LONG = 64
 #: White space as Unicode defines it; Python's own class also has four control characters.

@@ -36,7 +36,7 @@ from tidelog.llm import common, graph
 #: Cells of each sketch; 2 * 8 MB, whatever the corpus.
 CELLS = 1 << 20
 #: Classes and shingles that one search holds at most; a single set may be larger.
-GROUP_CLASSES, GROUP_SHINGLES = 3000, 3_000_000
+GROUP_CLASSES, GROUP_SHINGLES = 2000, 1_500_000
 #: Entries of one list that one task sends on singly, and that meet in one task; more are connected by their sizes alone.
 LIST_ROWS, MEET_ROWS = 64, 20_000
 #: Hash buckets whose counts tell apart sets that cannot link.
@@ -206,7 +206,7 @@ def _prefixes(k, num, den, shared):
                 own_n = np.repeat(n, take)
                 held.append((order[pick].view(np.int64), own_n, own_n, np.repeat(d1, take)))
                 size += len(pick)
-                if size > 2_000_000:
+                if size > 800_000:
                     yield from flush()
                     held, size = [], 0
         if held:
