@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import common
 
 #: Distinct runs of text whose ids a worker remembers before it starts anew, and the longest of them.
-REMEMBERED, LONG = 500_000, 64
+REMEMBERED, LONG = 300_000, 64
 #: Bytes of text that one part is made from, about.
 PART_BYTES = 32 << 20
 _NONE = np.iinfo(np.int64).min
@@ -43,7 +43,7 @@ def tokenizer(path: str) -> "RunTokenizer":
 class RunTokenizer:
     """Encodes with the tokenizers library, which sees each distinct run between blanks once while it is remembered.
 
-    Only for tokenizers that fold case, drop white space and split at it and between letters and marks, as word_bpe_49k does.  Runs are remembered with their ids
+    Only for tokenizers that drop white space and split at it, as word_bpe_49k does.  Runs are remembered with their ids
     as bytes, so a text is put together by one join; when the younger half of the memory is full the older half goes.
     """
 
@@ -70,34 +70,20 @@ class RunTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known, older = self.known, self.older
+        known = self.known
         new = {r for runs in split for r in set(runs).difference(known)}
-        again = new.intersection(older)
-        known.update((r, older[r]) for r in again)
-        new -= again
-        made = {r: _parts(r) for r in new}
-        missing = {x for parts in made.values() for x in parts if x not in known}
-        again = missing.intersection(older)
-        known.update((x, older[x]) for x in again)
-        known.update(self.learn(list(missing - again)))
-        known.update((r, b"".join(map(known.__getitem__, parts))) for r, parts in made.items())
+        known.update((r, self.older[r]) for r in new.intersection(self.older))
+        fresh = self.learn([r for r in new if r not in known])
+        long = [r for r in fresh if len(r) > LONG]
+        known.update(fresh)
         out = [np.frombuffer(b"".join(map(known.__getitem__, runs)), "<u4") for runs in split]
-        for r in [r for r in new | missing if len(r) > LONG]:
+        for r in long:
             del known[r]
         if len(known) > REMEMBERED:
             self.older, self.known = known, {"": b""}
         return out
 
 
-def _parts(run: str) -> tuple[str, ...]:
-    """The run in the pieces that the tokenizer looks at anyway: lower case, and a last mark apart from the letter before it."""
-    if run.isascii():
-        run = run.lower()
-    if len(run) > 1 and run[-1] in ".,;:!?" and run[-2] < "\u0180" and run[-2].lower().isalpha():  # Latin letters stay letters
-        return run[:-1], run[-1]
-    return (run,)
-
-
 def _open(uri: str):
     """The file system of a folder and the folder's path in it; plain paths are local."""
     return pa.fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{os.path.abspath(uri)}")
