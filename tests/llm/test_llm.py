@@ -250,6 +250,36 @@ def test_ngram_join_splits_large_components(spark, monkeypatch):
     assert [got[i] for i in range(150)] == [c for _, c in brute_classes(texts, 3, 80, 100)]
 
 
+@pytest.mark.parametrize("list_rows, meet_rows, num", [(64, 20_000, 90), (3, 20_000, 90), (3, 5, 80), (1, 2, 80)])
+def test_lists_keep_all_that_may_link(monkeypatch, list_rows, meet_rows, num):
+    monkeypatch.setattr(ngram_join, "MEET_ROWS", meet_rows)
+    r = random.Random(list_rows)
+    tasks = [[r.choice([*range(5, 90), 200, 205, 300, 500]) for _ in range(r.choice([1, 2, 30]))] for _ in range(5)]  # sizes of the classes that one list has in each task
+    rows, sizes = [], {}
+    for task in tasks:
+        node = np.arange(len(sizes), len(sizes) + len(task))
+        sizes |= dict(zip(node.tolist(), task))
+        n = np.array(task)
+        entries, _, pairs = ngram_join.collapse(*ngram_join.chain(np.zeros(len(n), np.int64), n, n, node, num, 100), list_rows)
+        rows += ngram_join._rows(entries, pairs)
+    root = {i: i for i in sizes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    met = {}
+    for b in ngram_join._merge_lists(num, 100)(rows):
+        for row in b.to_pylist():
+            other = row["key"] if row["edge"] else met.setdefault(row["key"], row["node"])
+            root[find(row["node"])] = find(other)
+    for x, m in sizes.items():
+        for y, n in sizes.items():
+            if num * max(m, n) <= 100 * min(m, n):
+                assert find(x) == find(y), (m, n)
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.classes(docs_of(spark, []), 3, 90, 100).count() == 0
     rows = ngram_join.classes(docs_of(spark, ["a b c d", "a b c d", "a b c d", None, "x"], [5, 5, 3, 9, None]), 3, 90, 100).collect()

@@ -149,7 +149,7 @@ def chain(key, lo, hi, node, num: int, den: int):
     fresh[1:] = key[1:] != key[:-1]
     lists = np.cumsum(fresh)
     reach = np.maximum.accumulate(lists * (1 << 32) + hi) - lists * (1 << 32)  # largest size so far in the list
-    fresh[1:] |= lo[1:] * den < reach[:-1] * num
+    fresh[1:] |= reach[:-1] * den < lo[1:] * num
     return (key, lo, hi, node), fresh
 
 
@@ -186,11 +186,13 @@ def _rows(entries, pairs):
 
 
 def _prefixes(k, num, den, shared):
+    at_most = LIST_ROWS
+
     def run(batches):
         counts, held, size = shared.value, [], 0
 
         def flush():
-            entries, _, pairs = collapse(*chain(*(np.concatenate(x) for x in zip(*held)), num, den), LIST_ROWS)
+            entries, _, pairs = collapse(*chain(*(np.concatenate(x) for x in zip(*held)), num, den), at_most)
             return _rows(entries, pairs)
 
         for batch in batches:
@@ -216,6 +218,8 @@ def _prefixes(k, num, den, shared):
 
 
 def _merge_lists(num, den):
+    at_most = MEET_ROWS
+
     def run(batches):
         held = []
         for b in batches:
@@ -225,7 +229,7 @@ def _merge_lists(num, den):
             if not edge.all():
                 held.append(tuple(b.column(i).to_numpy()[~edge] for i in range(1, 5)))
         if held:
-            entries, fresh, pairs = collapse(*chain(*(np.concatenate(x) for x in zip(*held)), num, den), MEET_ROWS)
+            entries, fresh, pairs = collapse(*chain(*(np.concatenate(x) for x in zip(*held)), num, den), at_most)
             size = np.diff(np.append(np.flatnonzero(fresh), len(fresh)))
             meet = np.repeat(size > 1, size)
             key, lo, hi, node = (x[meet] for x in entries)
