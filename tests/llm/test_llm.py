@@ -358,6 +358,30 @@ def test_lm_difference(spark):
     assert lm_score.score(docs, empty).count() == 202
 
 
+def test_lm_counts_all_words_and_bigrams(spark):
+    r = random.Random(2)
+    texts = [" ".join([f"w{r.randrange(9)}" if r.random() < 0.2 else f"only{r.randrange(100_000)}" for _ in range(1000)]) for _ in range(80)] + ["", None, "a", "a a a A"]
+    docs = docs_of(spark, [*texts, texts[0]], [*range(len(texts)), None])  # about 60,000 words, 75,000 bigrams
+    rows = lm_score.differences(docs, spark.range(40).withColumnRenamed("id", "doc_id")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts) + 1 and got[80].n_tokens == got[81].n_tokens == got[81].score == 0 and got[83].n_tokens == 4
+    tokens = [(t or "").lower().split() for t in [*texts, texts[0]]]
+    vocabulary = {w for t in tokens for w in t}
+    loss = []
+    for some in (tokens[:40], tokens):
+        pairs, before = collections.Counter(), collections.Counter()
+        for w in some:
+            pairs.update(zip(["^", *w], w))
+            before.update(["^", *w][: len(w)])
+        total = sum(n + 0.0 for w, n in before.items() if w != "^") + 0.5 * (len(vocabulary) + 1)
+        loss.append([np.mean([-np.log((pairs[a, b] + 16 * (before[b] + 0.5) / total) / (before[a] + 16)) for a, b in zip(["^", *w], w)] or [0]) for w in tokens])
+    for i in (0, 3, 50, 79, 82, 83):
+        assert abs(got[i].loss_target - loss[0][i]) < 1e-9 and abs(got[i].loss_background - loss[1][i]) < 1e-9
+    assert abs(got[None].score - (loss[0][0] - loss[1][0])) < 1e-9
+    assert all(r.score == 0 for r in lm_score.differences(docs, spark.range(0).withColumnRenamed("id", "doc_id")).collect())
+    assert lm_score.differences(docs.limit(0), docs.select("doc_id")).count() == 0
+
+
 # --- 8
 
 

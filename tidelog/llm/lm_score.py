@@ -1,10 +1,13 @@
 """Cross-entropy difference of two word bigram models that share one vocabulary.
 
-The vocabulary is the `vocabulary` most frequent words of the whole corpus (ties by hash) and one sign for all others.  The
-background model counts every document, the target model the documents marked as targets; both count the same unigrams
-and bigrams in the same cells, are smoothed alike and cover all their documents.  Bigrams are counted in 2^20 hashed
-cells, so the models have a fixed size while what is counted grows with the corpus.  A document's score is the mean over its
-tokens of target loss minus background loss: the lower, the more it is like the targets.
+The background model counts every document, the target model the documents marked as targets; both have every word of the
+corpus, count unigrams and bigrams exactly by (word before, word), words being 64-bit hashes, and are smoothed alike.
+differences() counts in shuffled aggregates and joins the counts to the bigrams of each document, so that the models grow with
+the corpus.  A document's score is the mean over its tokens of target loss minus background loss: the lower, the more it is
+like the targets.
+
+fit() and score() are a form of fixed size: the `most` most frequent words (ties by hash), one sign for all others, and bigrams
+in 2^20 hashed cells.
 
 A null, empty or wordless text has no tokens, losses 0 and score 0.  Without any target both models are the background.
 Texts are read whole; repeated rows count as often as they stand there.  Further columns are ignored.
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,10 @@ from tidelog.llm import common
 
 VOCABULARY, CELLS, SMOOTHING = 1 << 16, 1 << 20, 16.0
 _U = common.U64
+# What stands before the first token of a document.
+START = 1
+#: Tokens counted together in a task.
+BLOCK = 4_000_000
 
 
 def _word_hashes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +93,97 @@ def _bigrams(ids: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray
     return before, (common.mix(before.astype(_U) << _U(32) | ids.astype(_U)) >> _U(44)).astype(np.int64)
 
 
+def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    wanted = targets.select(F.col("doc_id").cast("long").alias("wanted")).filter("wanted is not null").distinct()
+    # a merge join at every size: targets grow with the corpus
+    return common.texts(docs).join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"), "left").select("doc_id", "text", F.col("wanted").isNotNull().alias("target"))
+
+
+def _pairs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word before each token, the token, and the row bounds."""
+    h, bounds = _word_hashes(b)
+    word = h.view(np.int64)
+    before = np.concatenate([[START], word[:-1]])[: len(word)]
+    before[bounds[:-1][bounds[:-1] < len(word)]] = START
+    return before, word, bounds
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts by keys, and where runs of equal keys begin in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
+def _count_pairs(batches):
+    held, size = [], 0
+
+    def flush():
+        before, word, target = (np.concatenate(x) for x in zip(*held))
+        order, at = _runs(before, word)
+        n = np.diff(np.append(at, len(order)))
+        t = np.add.reduceat(target[order].astype(np.int64), at)
+        for k in range(0, len(at), 1 << 16):
+            s = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (before[order[at[s]]], word[order[at[s]]], n[s], t[s])], names=["before", "word", "n", "t"])
+
+    for batch in batches:
+        for b in common.pieces(batch):
+            before, word, bounds = _pairs(b)
+            target = np.repeat(np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool), np.diff(bounds))
+            held.append((before, word, target))
+            size += len(word)
+            if size > BLOCK:
+                yield from flush()
+                held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def _document_pairs(batches):
+    """(row, doc_id, n_tokens, before, word, n): a row for each document with n = 0, and one for each of its distinct bigrams."""
+    row = TaskContext.get().partitionId() << 40
+    names = ["row", "doc_id", "n_tokens", "before", "word", "n"]
+    for batch in batches:
+        for b in common.pieces(batch):
+            before, word, bounds = _pairs(b)
+            ids = np.arange(row, row + b.num_rows)
+            row += b.num_rows
+            # keys of their own spread the rows of the documents
+            own = common.mix(ids.view(_U)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), pa.array(np.diff(bounds)), pa.array(own), pa.array(ids), pa.array(np.zeros(len(ids), np.int64))], names=names)
+            of = np.repeat(ids, np.diff(bounds))
+            order, at = _runs(of, before, word)
+            n = np.diff(np.append(at, len(order)))
+            for k in range(0, len(at), 1 << 16):
+                s = slice(k, k + (1 << 16))
+                pick = order[at[s]]
+                yield pa.RecordBatch.from_arrays([pa.array(of[pick]), pa.nulls(len(pick), pa.int64()), pa.nulls(len(pick), pa.int64()), pa.array(before[pick]), pa.array(word[pick]), pa.array(n[s])], names=names)
+
+
+def differences(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, loss_target, loss_background, score) by models that count all words and bigrams exactly."""
+    common.ship(docs.sparkSession)
+    counts = _marked(docs, targets).mapInArrow(_count_pairs, "before long, word long, n long, t long").groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counts = common.materialise(counts, "bigrams")
+    zero = F.lit(0).cast("long")
+    # how often each word, or the start, stands before another
+    words = counts.select(F.col("before").alias("w"), F.col("n").alias("c"), F.col("t").alias("ct")).unionByName(counts.select(F.col("word").alias("w"), zero.alias("c"), zero.alias("ct")))
+    words = common.materialise(words.groupBy("w").agg(F.sum("c").alias("c"), F.sum("ct").alias("ct")), "words")
+    total = words.agg(F.coalesce(F.sum("ct"), zero).alias("target"), *(F.coalesce(F.sum(F.when(F.col("w") != START, F.col(x))), zero).alias(x) for x in ("c", "ct")), F.count_if(F.col("w") != START).alias("words")).first()
+    both = (("target", "t", "ct") if total.target else ("target", "n", "c"), ("background", "n", "c"))
+    unigram = words.select(F.col("w").alias("word"), *((SMOOTHING * (F.col(c) + 0.5) / (total[c] + 0.5 * (total.words + 1))).alias(f"u_{name}") for name, _, c in both))
+    context = words.select(F.col("w").alias("before"), *((F.col(c) + SMOOTHING).alias(f"c_{name}") for name, _, c in both))
+    losses = counts.join(unigram.hint("merge"), "word").join(context.hint("merge"), "before")
+    losses = losses.select("before", "word", *((-F.log((F.col(n) + F.col(f"u_{name}")) / F.col(f"c_{name}"))).alias(name) for name, n, _ in both))
+    seen = common.texts(docs).mapInArrow(_document_pairs, "row long, doc_id long, n_tokens long, before long, word long, n long")
+    met = seen.join(losses.hint("merge"), ["before", "word"], "left")
+    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(F.col("n") * F.coalesce(F.col(x), F.lit(0.0))).alias(x) for x in ("target", "background")))
+    means = [(F.col(x) / F.greatest(F.lit(1), F.col("n_tokens"))).alias(f"loss_{x}") for x in ("target", "background")]
+    return sums.select("doc_id", "n_tokens", *means).withColumn("score", F.col("loss_target") - F.col("loss_background"))
+
+
 def fit(docs: DataFrame, targets: DataFrame, most: int = VOCABULARY):
     """(vocabulary, background counts, target counts); each counts array holds the words by id, then the cells."""
     spark = docs.sparkSession
@@ -109,9 +208,7 @@ def fit(docs: DataFrame, targets: DataFrame, most: int = VOCABULARY):
                     counts[base + n + 2 : base + size] += np.bincount(cell[pick], minlength=CELLS)
         yield from (pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], names=["chunk", "counts"]) for k, raw in common.count_rows(counts))
 
-    wanted = targets.select(F.col("doc_id").cast("long").alias("wanted")).filter("wanted is not null").distinct()
-    # a merge join at every size: targets grow with the corpus
-    rows = common.texts(docs).join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"), "left").select("doc_id", "text", F.col("wanted").isNotNull().alias("target"))
+    rows = _marked(docs, targets)
     counts = common.total_counts(rows.mapInArrow(run, "chunk int, counts binary"), 2 * width)
     background, target = counts[:size], counts[width : width + size]
     return words, background, target if target.any() else background

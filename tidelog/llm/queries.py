@@ -57,7 +57,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     good = common.table(spark, sf_dir, "labels").filter("quality = 1")
-    return lm_score.score(docs, lm_score.fit(docs, good))
+    return lm_score.differences(docs, good)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
