@@ -96,6 +96,25 @@ def test_decontamination_finds_copies_and_new_parameters(spark):
     assert decontaminate.find(docs_of(spark, []), items_of(spark, [item])).count() == 0
 
 
+def test_decontamination_finds_names_that_begin_sentences(spark):
+    items = ["Tom has 5 apples and buys 7 more", "Tom works in a shop. Mary pays him 8 coins a day. How many coins has Tom after 6 long days of work there", "On the way home from school Emile found 5 old coins"]
+    docs = [
+        "Bob has 9 apples and buys 2 more",
+        "Solve this. Bob has 9 apples and buys 2 more",
+        "Jim works in a shop. Anna pays him 3 coins a day. How many coins has Jim after 4 long days of work there",
+        "Jim works in a shop. Anna pays him 3 coins a day. How many coins has Eve after 4 long days of work there",
+        "On the way home from school Émile found 7 old coins",
+        "On the way home from school Ольга found 7 old coins",
+        "On the way home from school émile found 7 old coins",
+        "bob has 9 apples and buys 2 more",
+    ]
+    found = collections.defaultdict(set)
+    for r in decontaminate.find(docs_of(spark, docs), items_of(spark, items)).collect():
+        found[r.doc_id].add(r.item_id)
+    assert {k: found[k] for k in (0, 1, 2, 4, 5)} == {0: {0}, 1: {0}, 2: {1}, 4: {2}, 5: {2}}
+    assert 6 not in found and 7 not in found
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     docs, items = (common.table(spark, sf, t).collect() for t in ("documents", "benchmark"))
     grams = collections.defaultdict(set)

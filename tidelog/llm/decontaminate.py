@@ -2,9 +2,10 @@
 
 A text becomes a sequence of words in which numbers, names and units are typed placeholders: a word that begins with a
 digit or spells a number is a number, a known unit after a number is a unit, a capitalised word inside a sentence is a name.
-Windows of `window` words are hashed in this template view and in a literal view of lower-cased words.  Windows of documents
+A capitalised word that begins a sentence may be a name or not, so the template view has two readings: it is literal in one
+and a name in the other.  Windows of `window` words are hashed in both readings and in a literal view of lower-cased words.  Windows of documents
 that a bit map of the benchmark's hashes may hold are hash-joined with the benchmark's windows.  The slots of all template
-windows of one document and item that lie on one diagonal must then agree: each value of the item stands for one value of
+windows of one document and item that lie on one diagonal must then agree in one of the readings: each value of the item stands for one value of
 the document and the other way round, so a question with new numbers and names is found, and a text that merely has the
 same shape is not.
 
@@ -30,11 +31,12 @@ FILTER_BITS = (1 << 16, 1 << 26)
 _U = common.U64
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in '.!?:;\n"']] = True
-_DIGIT, _UPPER = np.zeros(256, bool), np.zeros(256, bool)
-_DIGIT[48:58], _UPPER[65:91] = True, True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_UPPER = np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x1FFFF)])  # by code point
 NUMBER, NAME, UNIT = 1, 2, 3
-_SCHEMA = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("n_words", pa.int64()), ("hash", pa.int64()), ("literal", pa.bool_()), ("slots", pa.list_(pa.string()))])
-_DDL = "id long, at long, n_words long, hash long, literal boolean, slots array<string>"
+_SCHEMA = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("n_words", pa.int64()), ("hash", pa.int64()), ("literal", pa.bool_()), ("readings", pa.int64()), ("slots", pa.list_(pa.string()))])
+_DDL = "id long, at long, n_words long, hash long, literal boolean, readings long, slots array<string>"
 
 
 def _known(words: list[str]) -> np.ndarray:
@@ -52,8 +54,18 @@ def _member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
+def _capital(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether the UTF-8 character at each start is a capital."""
+    b = [data[np.minimum(start + i, len(data) - 1)].astype(np.int64) for i in range(4)]
+    two = (b[0] & 31) << 6 | b[1] & 63
+    three = (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63
+    four = (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63
+    point = np.select([b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0], [b[0], two, three], four)
+    return _UPPER[np.minimum(point, len(_UPPER) - 1)]
+
+
 class Words:
-    """The words of a block in both views."""
+    """The words of a block in all views."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
@@ -61,22 +73,25 @@ class Words:
         self.start, self.end, self.bounds = common.words(low, offsets, common.PUNCT)
         self.literal = common.Spans(low).hash(self.start, self.end)
         n = len(self.start)
-        self.kind = np.zeros(n, np.int8)
+        self.kinds = [np.zeros(n, np.int8)] * 2  # by reading
         if not n:
-            self.template = self.literal
+            self.templates = [self.literal] * 2
             return
         first = np.zeros(n, bool)
         first[self.bounds[:-1][self.bounds[:-1] < n]] = True
         ends = np.concatenate([[0], np.cumsum(_ENDS[data])])
         after = np.concatenate([[0], self.end[:-1]])
         begins = first | (ends[self.start] > ends[np.minimum(after, self.start)])
-        self.kind[_UPPER[data[self.start]] & ~begins] = NAME
+        capital = _capital(data, self.start)
         number = _DIGIT[data[self.start]] | _member(self.literal, _NUMBERS)
-        self.kind[number] = NUMBER
         follows = np.flatnonzero(np.concatenate([[False], number[:-1]]) & ~first & ~number)
-        self.kind[follows[_member(self.literal[follows], _UNITS)]] = UNIT
+        units = follows[_member(self.literal[follows], _UNITS)]
+        self.kinds = [np.where(name, NAME, 0).astype(np.int8) for name in (capital & ~begins, capital)]
+        for kind in self.kinds:
+            kind[number] = NUMBER
+            kind[units] = UNIT
         mark = common.mix(np.arange(4, dtype=_U) + _U(77))
-        self.template = np.where(self.kind > 0, mark[self.kind], self.literal)
+        self.templates = [np.where(kind > 0, mark[kind], self.literal) for kind in self.kinds]
 
     def windows(self, view: np.ndarray, size: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of `size` words, and the first word of each."""
@@ -88,8 +103,8 @@ class Words:
             h = h * _U(0x9FB21C651E98DF25) + view[first + j]
         return common.mix(h), first
 
-    def slots(self, first: int, size: int) -> list[str]:
-        return [bytes(self.data[self.start[i] : self.end[i]]).decode().lower() for i in range(first, first + size) if self.kind[i]]
+    def slots(self, first: int, size: int, kind: np.ndarray) -> list[str]:
+        return [bytes(self.data[self.start[i] : self.end[i]]).decode().lower() for i in range(first, first + size) if kind[i]]
 
 
 _NUMBERS, _UNITS = _known(NUMBERS), _known(UNITS)
@@ -105,13 +120,19 @@ def _found(b: pa.RecordBatch, sizes, window: int, least: int, may_hold):
     ids = b.column(0).to_pylist()
     count = np.diff(words.bounds)
     for size in sorted(set(np.clip(count, least, window).tolist())) if sizes is None else sizes:
-        plain = np.concatenate([[0], np.cumsum(words.kind == 0)])
-        for literal, view in ((True, words.literal), (False, words.template)):
+        unlike = np.concatenate([[0], np.cumsum(words.kinds[0] != words.kinds[1])])
+        # a window that both readings give alike is one row of both
+        for readings, view in ((0, words.literal), (1, words.templates[0]), (2, words.templates[1])):
+            literal, kind = not readings, words.kinds[readings == 2]
             h, first = words.windows(view, size, 1 + literal)
+            alike = unlike[first + size] == unlike[first]
             keep = np.ones(len(h), bool) if may_hold is None else may_hold(h)
             if not literal:
+                plain = np.concatenate([[0], np.cumsum(kind == 0)])
                 fixed = plain[first + size] - plain[first]
                 keep &= (fixed >= min(least, size)) & (fixed < size)
+            if readings == 2:
+                keep &= ~alike
             at = np.flatnonzero(keep)
             row = np.searchsorted(words.bounds, first[at], side="right") - 1
             if sizes is None:  # each item in windows of its own size
@@ -120,11 +141,11 @@ def _found(b: pa.RecordBatch, sizes, window: int, least: int, may_hold):
             for i, r in zip(at.tolist(), row.tolist()):
                 if ids[r] is not None:
                     f = int(first[i])
-                    yield (ids[r], f - int(words.bounds[r]), size, int(h[i].view(np.int64)), literal, [] if literal else words.slots(f, size))
+                    yield (ids[r], f - int(words.bounds[r]), size, int(h[i].view(np.int64)), literal, 3 if readings and alike[i] else readings, [] if literal else words.slots(f, size, kind))
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(item_id, item_at, n_words, hash, literal, item_slots): every window of every item, materialised."""
+    """(item_id, item_at, n_words, hash, literal, item_readings, item_slots): every window of every item, materialised."""
 
     def run(batches):
         for batch in batches:
@@ -134,7 +155,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, least: int = LEAST
                     yield _batch(rows)
 
     rows = items.selectExpr("cast(item_id as long) id", "cast(text as string) text").mapInArrow(run, _DDL)
-    return common.materialise(rows.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n_words", "hash", "literal", F.col("slots").alias("item_slots")).distinct(), "windows")
+    return common.materialise(rows.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n_words", "hash", "literal", F.col("readings").alias("item_readings"), F.col("slots").alias("item_slots")).distinct(), "windows")
 
 
 def _filter_of(windows: DataFrame) -> np.ndarray:
@@ -169,17 +190,23 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = L
                 if rows:
                     yield _batch(rows)
 
-    seen = common.texts(docs).mapInArrow(run, _DDL).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "n_words", "hash", "literal", "slots")
+    seen = common.texts(docs).mapInArrow(run, _DDL).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "n_words", "hash", "literal", "readings", "slots")
     met = seen.join(own, ["hash", "n_words", "literal"])
     pair = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    both = F.col("readings").bitwiseAND(F.col("item_readings"))
+    first = ~F.col("literal") & (both.bitwiseAND(1) > 0)
+    second = ~F.col("literal") & ((both.bitwiseAND(2) > 0) | (both == 0))
+    slots = lambda of: F.array_distinct(F.flatten(F.collect_set(F.when(of, F.transform(pair, lambda p: F.struct(p["i"].alias("item"), p["d"].alias("doc")))))))
     lines = met.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
         F.count_distinct("item_at").alias("n_windows"),
         F.count_distinct(F.when(F.col("literal"), F.col("item_at"))).alias("literal_windows"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("literal"), F.transform(pair, lambda p: F.struct(p["i"].alias("item"), p["d"].alias("doc"))))))).alias("slots"),  # an item's slots at most
+        slots(first).alias("first"),  # an item's slots at most
+        slots(second).alias("second"),
     )
-    distinct = lambda field: F.size(F.array_distinct(F.transform("slots", lambda p: p[field])))
-    agree = (F.size("slots") == distinct("item")) & (F.size("slots") == distinct("doc"))
-    lines = lines.filter((F.col("literal_windows") > 0) | agree)
+    distinct = lambda slots, field: F.size(F.array_distinct(F.transform(slots, lambda p: p[field])))
+    agree = lambda slots: (F.size(slots) > 0) & (F.size(slots) == distinct(slots, "item")) & (F.size(slots) == distinct(slots, "doc"))
+    lines = lines.filter((F.col("literal_windows") > 0) | agree("first") | agree("second"))
+    lines = lines.withColumn("slots", F.when(agree("second") & ~(agree("first") & (F.size("first") >= F.size("second"))), F.col("second")).otherwise(F.col("first")))
     return lines.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.sum("literal_windows").alias("literal_windows"), F.max("slots").alias("slots"))
 
 
