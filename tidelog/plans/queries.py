@@ -172,6 +172,11 @@ def metrics_prometheus(spark, sf):
     return metrics.exposition(metrics_snapshot(spark, sf)).filter("position % 3 < 2").select(F.col("position").cast("long").alias("position"), "line")
 
 
+def metrics_exposition(spark, sf):
+    """All lines; metrics_prometheus has those that its SQL has, without the values."""
+    return metrics.exposition(metrics_snapshot(spark, sf)).select(F.col("position").cast("long").alias("position"), "line")
+
+
 def format_sizes(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", format_bytes((F.col("o_orderkey") * F.col("o_custkey")).cast("long")).alias("shown"))
 
@@ -213,6 +218,6 @@ NAMES = """kv_live_state kv_tombstones kv_multi_get kv_point_get kv_range_scan k
 memtable_size memtable_flush_segments sst_layout sst_header sparse_index sparse_floor_lookup byte_window_list compact_minor
 compact_major compact_stats read_amplification wal_offsets wal_valid_prefix wal_replay_state wal_file_order
 backpressure_state budget_by_component metrics_percentiles metrics_ring_buffer metrics_hit_ratio metrics_throughput
-metrics_snapshot metrics_format metrics_prometheus format_sizes key_display bloom_no_false_negative bloom_sizing crc_verify
+metrics_snapshot metrics_format metrics_prometheus metrics_exposition format_sizes key_display bloom_no_false_negative bloom_sizing crc_verify
 cache_lru_sim""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
