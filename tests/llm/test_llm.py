@@ -115,6 +115,14 @@ def test_decontamination_finds_names_that_begin_sentences(spark):
     assert 6 not in found and 7 not in found
 
 
+def test_decontamination_lets_new_values_coincide(spark):
+    item = "in the shop Tom sold 3 red apples and then 5 green pears to a man"
+    docs = [item.replace("3", "4").replace("5", "4"), "in the shop Bob sold 3 red apples and then 3 green pears to a man"]
+    assert sorted(r.doc_id for r in decontaminate.find(docs_of(spark, docs), items_of(spark, [item])).collect()) == [0, 1]
+    twice = "in the shop Tom sold 3 red apples and then 3 green pears to a man"
+    assert decontaminate.find(docs_of(spark, [item.replace("Tom", "Bob")]), items_of(spark, [twice])).count() == 0
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     docs, items = (common.table(spark, sf, t).collect() for t in ("documents", "benchmark"))
     grams = collections.defaultdict(set)

@@ -6,7 +6,7 @@ A capitalised word that begins a sentence may be a name or not, so the template
 and a name in the other.  Windows of `window` words are hashed in both readings and in a literal view of lower-cased words.  Windows of documents
 that a bit map of the benchmark's hashes may hold are hash-joined with the benchmark's windows.  The slots of all template
 windows of one document and item that lie on one diagonal must then agree in one of the readings: each value of the item stands for one value of
-the document and the other way round, so a question with new numbers and names is found, and a text that merely has the
+the document, so a question with new numbers and names is found, and a text that merely has the
 same shape is not.
 
 An item shorter than a window is one window of its own length; one of fewer than `least` words is never found, for a few
@@ -203,8 +203,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = L
         slots(first).alias("first"),  # an item's slots at most
         slots(second).alias("second"),
     )
-    distinct = lambda slots, field: F.size(F.array_distinct(F.transform(slots, lambda p: p[field])))
-    agree = lambda slots: (F.size(slots) > 0) & (F.size(slots) == distinct(slots, "item")) & (F.size(slots) == distinct(slots, "doc"))
+    agree = lambda slots: (F.size(slots) > 0) & (F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda p: p["item"]))))
     lines = lines.filter((F.col("literal_windows") > 0) | agree("first") | agree("second"))
     lines = lines.withColumn("slots", F.when(agree("second") & ~(agree("first") & (F.size("first") >= F.size("second"))), F.col("second")).otherwise(F.col("first")))
     return lines.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.sum("literal_windows").alias("literal_windows"), F.max("slots").alias("slots"))
