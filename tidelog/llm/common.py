@@ -6,6 +6,8 @@ the hash of any byte span in constant time, so words, affixes and shingles need
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 import zlib
@@ -44,10 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a folder of its own only where spark.checkpoint.dir is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; a folder of its own only where that is unset in local mode."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         at = getattr(sc, "_tidelog_dir", None) or tempfile.mkdtemp(prefix="tidelog-")
         sc._tidelog_dir = at
     return str(at).rstrip("/")
@@ -58,11 +62,79 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them back."""
+    """Cuts the lineage: writes the rows to the shared folder and reads them back; drop() deletes them.
+
+    Shuffle files of the write go when it is done, for nothing reads them again.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidelog_path = path
+    for paths in _scopes:
+        paths.append((spark, path))
+    return out
+
+
+_scopes: list[list] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() made and that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._tidelog_path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes on leaving whatever materialise() made inside; what is to stay has to be written by then."""
+    made: list = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for spark, path in made:
+            _delete(spark, path)
+
+
+#: Rows of the bit map that marked() broadcasts, 64 bits in each: about 16 MB at most.
+MAP_ROWS = 1 << 19
+
+
+def marked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose doc_id is not in the one column of ids, and those whose doc_id is.
+
+    A bit map of the hashed ids, of bounded size, is broadcast.  Rows that it rules out stay where they are; only the
+    others are shuffled and joined exactly.  So the texts that move are those with a listed id and the share that the
+    map lets through by chance, which is small up to some ten million ids and grows to all rows beyond.
+    """
+    tag = uuid.uuid4().hex[:8]
+    key, word, bits = f"key_{tag}", f"word_{tag}", f"bits_{tag}"
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias(key)).filter(F.col(key).isNotNull()).distinct()
+    ids = materialise(ids, "ids")
+    cell = lambda of: F.pmod(F.xxhash64(of.cast("long")), F.lit(64 * MAP_ROWS))
+    bit = lambda of: F.call_function("shiftleft", F.lit(1).cast("long"), cell(of).bitwiseAND(63).cast("int"))
+    held = ids.select(F.shiftright(cell(F.col(key)), 6).alias(word), bit(F.col(key)).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    own = docs["doc_id"]
+    near = docs.join(F.broadcast(held), F.shiftright(cell(own), 6) == F.col(word), "left")  # MAP_ROWS rows at most
+    maybe = own.isNotNull() & (F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(bit(own)) != 0)
+    names = [docs[f"`{c}`"] for c in docs.columns]
+    sure, rest = near.filter(~maybe).select(names), near.filter(maybe).select(names)
+    known = ids.hint("merge")
+    on = rest["doc_id"].cast("long") == known[key]
+    return sure.unionByName(rest.join(known, on, "left_anti")), rest.join(known, on, "left_semi")
 
 
 def texts(docs: DataFrame) -> DataFrame:

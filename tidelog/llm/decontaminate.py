@@ -9,9 +9,10 @@ windows of one document and item that lie on one diagonal must then agree in one
 the document, so a question with new numbers and names is found, and a text that merely has the
 same shape is not.
 
-An item shorter than a window is one window of its own length; one of fewer than `least` words is never found, for a few
-words prove nothing.  A template window needs `least` literal words.  A null or empty text has no windows.  Texts are read
-whole.  Repeated rows count once; a row without doc_id is never found.  Further columns are ignored.
+An item shorter than a window is one window of its own length, of whatever length, so a text that holds a short item word
+for word is found.  A template window needs `least` literal words, for fewer prove nothing.  A null or empty text has
+no windows.  Texts are read whole.  Repeated rows count once; a row without doc_id is never found.  Where both readings
+agree as well, the one with more slots is given.  Empty tables give no rows.  Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def _found(b: pa.RecordBatch, sizes, window: int, least: int, may_hold):
     words = Words(*common.bytes_of(b.column(1)))
     ids = b.column(0).to_pylist()
     count = np.diff(words.bounds)
-    for size in sorted(set(np.clip(count, least, window).tolist())) if sizes is None else sizes:
+    for size in sorted(set(np.clip(count, 1, window).tolist())) if sizes is None else sizes:
         unlike = np.concatenate([[0], np.cumsum(words.kinds[0] != words.kinds[1])])
         # a window that both readings give alike is one row of both
         for readings, view in ((0, words.literal), (1, words.templates[0]), (2, words.templates[1])):
@@ -130,13 +131,13 @@ def _found(b: pa.RecordBatch, sizes, window: int, least: int, may_hold):
             if not literal:
                 plain = np.concatenate([[0], np.cumsum(kind == 0)])
                 fixed = plain[first + size] - plain[first]
-                keep &= (fixed >= min(least, size)) & (fixed < size)
+                keep &= (fixed >= least) & (fixed < size)
             if readings == 2:
                 keep &= ~alike
             at = np.flatnonzero(keep)
             row = np.searchsorted(words.bounds, first[at], side="right") - 1
             if sizes is None:  # each item in windows of its own size
-                own = np.clip(count[row], least, window) == size
+                own = np.clip(count[row], 1, window) == size
                 at, row = at[own], row[own]
             for i, r in zip(at.tolist(), row.tolist()):
                 if ids[r] is not None:
@@ -174,7 +175,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = L
     spark = docs.sparkSession
     common.ship(spark)
     own = benchmark_windows(items, window, least)
-    sizes = sorted(r.n_words for r in own.select("n_words").distinct().collect())  # from least to window
+    sizes = sorted(r.n_words for r in own.select("n_words").distinct().collect())  # from 1 to window
     shared = spark.sparkContext.broadcast(_filter_of(own))  # a bit map of bounded size
 
     def run(batches):
@@ -211,5 +212,5 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = L
 
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    gone = find(docs, items).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")  # what goes grows with the corpus
+    kept, _ = common.marked(docs, find(docs, items).select("doc_id"))
+    return kept

@@ -26,11 +26,17 @@ def components(edges: DataFrame) -> DataFrame:
         a = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         met = edges.join(a, "a").join(b, "b").filter("ra <> rb")
-        edges = common.materialise(met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        rest = common.materialise(met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        common.drop(near, edges)
+        edges = rest
     if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        none = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        none._tidelog_path = edges._tidelog_path
+        return none
     out = steps[0]
     for step in steps[1:]:
         later = step.select(F.col("node").alias("root"), F.col("root").alias("last"))
         out = out.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-    return out
+    found = common.materialise(out, "components")
+    common.drop(edges, *steps)
+    return found

@@ -9,22 +9,29 @@ when their sets' Jaccard similarity is num/den or more.
    order gives the same result, this one keeps inverted lists short.
 3. A set of size n can only link to one it shares ceil(num n / den) shingles with, so linked sets share one of their
    first n - ceil(num n / den) + 1 shingles.  These go to their lists.  Classes that meet in a list may link if their
-   sizes allow it and the counts of their shingles in 128 hash buckets do: the sum of differences is at most the size of the
+   sizes allow it and the counts of their shingles in 128 or more hash buckets do: the sum of differences is at most the size of the
    symmetric difference, so the test loses nothing.  Classes that may link are connected, and the components of that graph
    part the corpus into independent searches.  Of a list's entries in one task beyond LIST_ROWS only bounds travel, so a
    list as long as the corpus is still a few rows a task.
-4. Within a component the sets meet: the shortest lists of a set are heap-merged, classes that occur there are probed
-   in its long lists, and those that reach the required overlap link (DivideSkip).  Classes already connected are
-   skipped.  A component too large for one task is cut by size ranges, then into pairs of blocks, which meet in tasks of
-   bounded size.
+4. Within a component the sets meet (search): a T-occurrence search by DivideSkip over inverted lists.  Only the texts of
+   classes that may link travel, compressed, and become sets again where they meet.
+5. A component too large for one task is cut by size ranges, and each range into blocks.  First every set meets its own
+   block.  Then a few members of each cluster found so far meet, until no clusters join any more.  What may still be
+   missing are links between different clusters, and for these the sets outside the largest cluster of a range meet
+   all others.  So a group of copies, however large, is dealt out a fixed number of times; only sets that stay apart although
+   they may link are dealt out more often.
 
 Copies are never paired.  A null or empty text has an empty set and links with nothing.  A row without doc_id takes part in
-nothing and has no component_id.  Repeated rows keep their copies.  Texts are read whole.  Further columns are ignored.
+nothing and has no component_id.  Repeated rows keep their copies.  An empty table gives no rows.  Ties in size or order do not
+change the result, for it is exact.  Texts are read whole.  Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +45,12 @@ CELLS = 1 << 20
 #: Classes and shingles that one search holds at most; a single set may be larger.
 GROUP_CLASSES, GROUP_SHINGLES = 2000, 1_500_000
 #: Entries of one list that one task sends on singly, and that meet in one task; more are connected by their sizes alone.
-LIST_ROWS, MEET_ROWS = 64, 20_000
-#: Hash buckets whose counts tell apart sets that cannot link.
+LIST_ROWS, MEET_ROWS = 64, 5_000
+#: Members of each cluster that meet those of others, and rounds of such meetings at most; an exact round follows.
+MEMBERS, ROUNDS = 4, 6
+#: DivideSkip's weight of a probe against a merge step.
+MU = 0.0085
+#: Hash buckets, at least, whose counts tell apart sets that cannot link.
 BUCKETS = 128
 #: Bits of the filter of classes that may link.
 FILTER_BITS = (1 << 16, 1 << 26)
@@ -87,20 +98,32 @@ def digests(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(common.row_sums(common.mix(sets ^ _U(salt)), at).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-SIGNATURE = [f"s{i}" for i in range(BUCKETS // 8)]
+def bucket_counts(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set the counts of its hashes by bucket, 255 at most a bucket; BUCKETS buckets, or more for a large set.
 
-
-def bucket_counts(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, BUCKETS) counts of each set's hashes by bucket, 255 at most."""
-    rows = len(at) - 1
-    row = np.repeat(np.arange(rows), np.diff(at))
-    counts = np.bincount(row * BUCKETS + (sets >> _U(57)).astype(np.int64), minlength=rows * BUCKETS)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(rows, BUCKETS)
+    Buckets are ranges of hashes, so neighbours added up give a coarser count.  About 16 hashes to a bucket tell unrelated
+    sets apart, whatever their size.
+    """
+    n = np.diff(at)
+    level = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 16)).astype(np.int64) - BUCKETS.bit_length() + 1)
+    out: list[bytes] = [b""] * len(n)
+    for up in np.unique(level).tolist():
+        some = np.flatnonzero(level == up)
+        width = BUCKETS << up
+        for k in range(0, len(some), max(1, 4096 >> up)):
+            own = some[k : k + max(1, 4096 >> up)]
+            row = np.repeat(np.arange(len(own)), n[own])
+            pick = np.arange(len(row)) + np.repeat(at[own] - np.concatenate([[0], np.cumsum(n[own])[:-1]]), n[own])
+            counts = np.bincount(row * width + (sets[pick] >> _U(65 - width.bit_length())).astype(np.int64), minlength=len(own) * width)
+            rows = np.minimum(counts, 255).astype(np.uint8).reshape(len(own), width)
+            for i, x in zip(own.tolist(), rows):
+                out[i] = x.tobytes()
+    return out
 
 
 def _signatures(k: int):
-    names = ["doc_id", "n", "d1", "d2", *SIGNATURE, "chunk", "counts"]
-    kinds = [pa.int64()] * (len(names) - 2) + [pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "d1", "d2", "sig", "chunk", "counts"]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
         counts = np.zeros(2 * CELLS, np.int64)
@@ -111,8 +134,7 @@ def _signatures(k: int):
                 for base, x in ((0, sets), (CELLS, word)):
                     counts[base : base + CELLS] += np.bincount((x >> _U(44)).astype(np.int64), minlength=CELLS)
                 d1, d2 = digests(sets, at)
-                sig = bucket_counts(sets, at).view(np.int64)
-                made = [b.column(0), pa.array(np.diff(at)), pa.array(d1), pa.array(d2), *(pa.array(sig[:, i].copy()) for i in range(sig.shape[1]))]
+                made = [b.column(0), pa.array(np.diff(at)), pa.array(d1), pa.array(d2), pa.array(bucket_counts(sets, at), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*made, *(pa.nulls(b.num_rows, t) for t in kinds[-2:])], names=names)
         for chunk, raw in common.count_rows(counts):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:-2]), pa.array([chunk], kinds[-2]), pa.array([raw], kinds[-1])], names=names)
@@ -240,7 +262,36 @@ def _merge_lists(num, den):
     return run
 
 
-def near(size: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+class Buckets:
+    """The bucket counts of some sets, at any resolution that a set has."""
+
+    def __init__(self, sigs: list[bytes]):
+        self.width = np.array([len(x) for x in sigs])
+        self.sigs, self.made = sigs, {}
+
+    def at(self, width: int) -> np.ndarray:
+        """(sets, width): the counts of all sets that have as many buckets; zeros for the others."""
+        if width not in self.made:
+            out = np.zeros((len(self.sigs), width), np.int16)
+            for w in np.unique(self.width[self.width >= width]).tolist():
+                some = np.flatnonzero(self.width == w)
+                raw = np.frombuffer(b"".join(self.sigs[i] for i in some.tolist()), np.uint8)
+                out[some] = raw.reshape(len(some), width, w // width).sum(2, dtype=np.int16)
+            self.made[width] = out
+        return self.made[width]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each pair of sets a lower bound of the size of their symmetric difference."""
+        common_width = np.minimum(self.width[x], self.width[y])
+        out = np.zeros(len(x), np.int64)
+        for w in np.unique(common_width).tolist():
+            some = np.flatnonzero(common_width == w)
+            counts = self.at(w)
+            out[some] = np.abs(counts[x[some]] - counts[y[some]]).sum(1, dtype=np.int64)
+        return out
+
+
+def near(size: np.ndarray, buckets: Buckets, num: int, den: int) -> np.ndarray:
     """For each entry of a list the first entry it is connected with by pairs whose sizes and bucket counts may link."""
     label = np.full(len(size), -1)
     for seed in range(len(size)):
@@ -251,28 +302,33 @@ def near(size: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray
         while queue:
             x = queue.pop()
             other = np.flatnonzero((label < 0) & (size * den >= size[x] * num) & (size * num <= size[x] * den))
-            apart = np.abs(counts[other] - counts[x]).sum(1, dtype=np.int64)
-            hit = other[apart * (den + num) <= (den - num) * (size[other] + size[x])]
+            if not len(other):
+                continue
+            hit = other[buckets.apart(other, np.full(len(other), x)) * (den + num) <= (den - num) * (size[other] + size[x])]
             label[hit] = seed
             queue += hit.tolist()
     return label
 
 
 def _meet(num, den):
-    """Streams over (key, lo, hi, node, signature) sorted by key and gives the edges (a, b) of classes that may link."""
+    """Streams over (key, lo, hi, node, sig) sorted by key and gives the edges (a, b) of classes that may link."""
 
     def edges(key, lo, hi, node, sig):
-        counts = np.ascontiguousarray(sig).view(np.uint8).astype(np.int16)
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(at[1:], len(key))
         pair = (ends - at == 2) & (lo[at] == hi[at]) & (lo[ends - 1] == hi[ends - 1])
-        i = at[pair]
-        apart = np.abs(counts[i] - counts[i + 1]).sum(1, dtype=np.int64)
-        i = i[apart * (den + num) <= (den - num) * (lo[i] + lo[i + 1])]
-        a, b = [node[i]], [node[i + 1]]
+        a, b = [], []
+        pairs = at[pair]
+        for k in range(0, len(pairs), 1 << 13):
+            i = pairs[k : k + (1 << 13)]
+            own = Buckets([sig[j] for j in np.stack([i, i + 1], 1).ravel().tolist()])
+            apart = own.apart(np.arange(0, 2 * len(i), 2), np.arange(1, 2 * len(i), 2))
+            i = i[apart * (den + num) <= (den - num) * (lo[i] + lo[i + 1])]
+            a.append(node[i])
+            b.append(node[i + 1])
         for s, e in zip(at[~pair].tolist(), ends[~pair].tolist()):
             boxed = (lo[s:e] != hi[s:e]).any()  # bounds of many classes: connected as they stand
-            label = np.zeros(e - s, np.int64) if boxed else near(lo[s:e], counts[s:e], num, den)
+            label = np.zeros(e - s, np.int64) if boxed else near(lo[s:e], Buckets(sig[s:e]), num, den)
             a.append(node[s:e])
             b.append(node[s:e][label])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -280,46 +336,44 @@ def _meet(num, den):
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
     def run(batches):
-        held = None
+        held, sigs = None, []
         for b in batches:
-            new = [b.column(i).to_numpy() for i in range(4)] + [np.stack([b.column(4 + i).to_numpy() for i in range(len(SIGNATURE))], 1)]
+            new = [b.column(i).to_numpy() for i in range(4)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            sigs += b.column(4).to_pylist()
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last list may go on
             if cut > 50_000:
-                yield edges(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
+                yield edges(*(x[:cut] for x in held), sigs[:cut])
+                held, sigs = [x[cut:] for x in held], sigs[cut:]
         if held is not None and len(held[0]):
-            yield edges(*held)
+            yield edges(*held, sigs)
 
     return run
 
 
-def _sets(k, shared):
-    names = ["n", "d1", "d2", "rep", "shingles"]
+def _texts(k, shared):
+    """(n, d1, d2, raw): the compressed text of one document of each class that the bit map may hold, once a block."""
+    names = ["n", "d1", "d2", "raw"]
 
     def run(batches):
         bits, held, size = shared.value, {}, 0
 
         def flush():
-            rows = list(held.items())
-            cols = [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(3)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([r[1][0] for r in rows], pa.int64()), pa.array([r[1][1] for r in rows], pa.binary())], names=names)
+            cols = [pa.array([key[i] for key in held], pa.int64()) for i in range(3)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(list(held.values()), pa.binary())], names=names)
 
         for batch in batches:
             for b in common.pieces(batch):
-                h, at, _, _ = shingles(*common.bytes_of(b.column(1)), k)
+                data, offsets = common.bytes_of(b.column(1))
+                h, at, _, _ = shingles(data, offsets, k)
                 sets, at = sort_rows(h, at)
                 d1, d2 = digests(sets, at)
-                ids = b.column(0).to_pylist()
-                for i in np.flatnonzero((np.diff(at) > 0) & _may_hold(bits, d1)).tolist():
-                    if ids[i] is None:
-                        continue
+                known = np.asarray(b.column(0).is_valid())
+                for i in np.flatnonzero((np.diff(at) > 0) & known & _may_hold(bits, d1)).tolist():
                     key = (int(at[i + 1] - at[i]), int(d1[i]), int(d2[i]))
-                    if key in held:
-                        held[key][0] = min(held[key][0], ids[i])
-                    else:
-                        held[key] = [ids[i], sets[at[i] : at[i + 1]].tobytes()]
-                        size += 8 * key[0] + 100
+                    if key not in held:
+                        held[key] = zlib.compress(data[offsets[i] : offsets[i + 1]].tobytes(), 1)
+                        size += len(held[key]) + 100
                 if size > 16 << 20:
                     yield flush()
                     held, size = {}, 0
@@ -353,8 +407,41 @@ def _filter_of(nodes: DataFrame, count: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between sets of sorted hashes that connect every class of linked sets; by DivideSkip."""
+def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
+    """(record, count) of the records that stand in `need` or more of the sorted lists, in ascending order.
+
+    A heap holds the lists' heads.  Where too few agree, need - 1 heads are taken off and jump to the next one left, for
+    no record before it can stand in enough lists.
+    """
+    at = [0] * len(lists)
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    while len(heap) >= need:
+        record, taken = heap[0][0], []
+        while heap and heap[0][0] == record:
+            taken.append(heapq.heappop(heap)[1])
+        if len(taken) >= need:
+            yield record, len(taken)
+            beyond = record + 1
+        else:
+            while heap and len(taken) < need - 1:
+                taken.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            beyond = max(record + 1, heap[0][0])
+        for i in taken:
+            at[i] = bisect_left(lists[i], beyond, at[i])
+            if at[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at[i]], i))
+
+
+def search(sets: list[np.ndarray], num: int, den: int, clusters: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between sets of sorted hashes that connect every class of linked sets; by DivideSkip.
+
+    Sets go by size, each against those before it that are not in its cluster yet.  Of its inverted lists the longest, T /
+    (MU log2(longest) + 1) of them, are set aside; a set with enough overlap T stands often enough in the short ones,
+    which are heap-merged, and is then looked up in each long one by binary search.
+    """
     count = len(sets)
     if count < 2:
         return []
@@ -366,68 +453,65 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     rank[np.argsort(df, kind="stable")] = np.arange(len(df))
     token, df = rank[token], np.sort(df, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(size)])
-    rows = [np.sort(token[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(count), size)
-    by_list = np.argsort(flat, kind="stable")
-    lists, list_at = owner[by_list], np.concatenate([[0], np.cumsum(df)])
-    label = np.arange(count)
+    # all inverted lists, shortest first, as one sorted array of list * count + set
+    entries = np.sort(token * count + np.repeat(np.arange(count), size))
+    list_at = np.concatenate([[0], np.cumsum(df)])
+    label = np.arange(count) if clusters is None else np.unique(np.array(clusters)[order], return_inverse=True)[1]
     links = []
     for i in range(1, count):
         n = int(size[i])
         least = needed(n, num, den)
-        low = int(np.searchsorted(size, -(-num * n // den)))
-        if low >= i or (label[low:i] == label[i]).all():
-            continue
-        mine = rows[i]
-        short, long = mine[: n - least + 1], mine[n - least + 1 :]
-        merged = []
-        for t in short[df[short] > 1].tolist():
-            one = lists[list_at[t] : list_at[t + 1]]
-            merged.append(one[np.searchsorted(one, low) : np.searchsorted(one, i)])
-        total = sum(map(len, merged))
-        if not total:
-            continue
-        if total <= 64:  # a heap holds the heads of the lists
-            runs = np.fromiter(heapq.merge(*(x.tolist() for x in merged)), np.int64, total)
-        else:  # the same merge of sorted runs, in one call
-            runs = np.sort(np.concatenate(merged), kind="stable")
-        who, often = np.unique(runs, return_counts=True)
-        other = label[who] != label[i]
-        who, often = who[other], often[other]
-        must = -(-num * (n + size[who]) // (num + den))
-        able = often + len(long) >= must
-        who, often, must = who[able], often[able], must[able]
-        if len(who) > 64:  # count in all lists at once
-            spans = [lists[list_at[t] : list_at[t + 1]] for t in mine[df[mine] > 1].tolist()]
-            overlap = np.bincount(np.concatenate(spans), minlength=count)[who]
-            for j in who[overlap >= must].tolist():
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-                    links.append((i, j))
+        low = int(np.searchsorted(size, least))
+        if not (label[low:i] != label[i]).any():
             continue
-        for j, c, m in zip(who.tolist(), often.tolist(), must.tolist()):
-            if label[j] == label[i]:
-                continue
-            theirs = rows[j]
-            at = np.searchsorted(theirs, long)  # binary probes of the long lists
-            at[at == len(theirs)] = 0
-            if c + int((theirs[at] == long).sum()) >= m:
-                label[label == label[j]] = label[i]
-                links.append((i, j))
+        mine = np.sort(token[bounds[i] : bounds[i + 1]])
+        aside = min(least - 1, int(least / (MU * np.log2(max(2, df[mine[-1]])) + 1)))
+        need, short, long = least - aside, mine[: n - aside], mine[n - aside :]
+        short = short[df[short] > 1]
+        length = df[short]
+        where = np.arange(length.sum()) + np.repeat(list_at[short] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+        own_list, who = np.repeat(np.arange(len(short)), length), entries[where] % count
+        begin = low
+        while True:
+            left = (who >= begin) & (who < i)
+            left[left] = label[who[left]] != label[i]
+            cuts = np.searchsorted(own_list[left], np.arange(len(short) + 1)).tolist()
+            flat = who[left].tolist()
+            found = -1
+            for j, often in merge_skip([flat[a:b] for a, b in zip(cuts, cuts[1:]) if a < b], need):
+                must = -(-num * (n + int(size[j])) // (num + den))
+                if often + aside < must:
+                    continue
+                asked = long * count + j
+                at = np.minimum(np.searchsorted(entries, asked), len(entries) - 1)
+                if often + int((entries[at] == asked).sum()) >= must:
+                    found = j
+                    break
+            if found < 0:
+                break
+            links.append((i, found))
+            label[label == label[found]] = label[i]
+            begin = found + 1
+            if not (label[begin:i] != label[i]).any():
+                break
     return [(int(order[a]), int(order[b])) for a, b in links]
 
 
-def _search_groups(num, den):
-    """Streams over rows sorted by group and gives the links (a, b) between representatives."""
+def _search_groups(k, num, den):
+    """Streams over (group, cluster, rep, raw) sorted by group and gives the links (a, b) between representatives."""
 
     def run(batches):
         now, held, out = None, {}, []
 
         def close():
-            rows = list(held.values())
-            for a, b in search([np.frombuffer(x[1], _U) for x in rows], num, den):
-                out.append((rows[a][0], rows[b][0]))
+            if len(held) > 1:
+                raws = [zlib.decompress(x[1]) for x in held.values()]
+                offsets = np.cumsum([0, *map(len, raws)])
+                h, at, _, _ = shingles(np.frombuffer(b"".join(raws), np.uint8), offsets, k)
+                flat, at = sort_rows(h, at)
+                reps = list(held)
+                for a, b in search(np.split(flat, at[1:-1]), num, den, [x[0] for x in held.values()]):
+                    out.append((reps[a], reps[b]))
 
         def batch():
             made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -435,18 +519,15 @@ def _search_groups(num, den):
             return made
 
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            for i, g in enumerate(cols[0]):
+            group, cluster, rep = (b.column(i).to_pylist() for i in range(3))
+            for i, g in enumerate(group):
                 if g != now:
                     close()
                     now, held = g, {}
                     if len(out) > 10_000:
                         yield batch()
-                key = (cols[1][i], cols[2][i])
-                if key in held:
-                    held[key][0] = min(held[key][0], cols[3][i])
-                else:
-                    held[key] = [cols[3][i], b.column(4)[i].as_py()]
+                if rep[i] not in held:
+                    held[rep[i]] = (cluster[i], b.column(3)[i].as_py())
         close()
         if out:
             yield batch()
@@ -454,25 +535,86 @@ def _search_groups(num, den):
     return run
 
 
-def _groups(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Deals the sets of each component into groups of bounded size in which all pairs that may link meet."""
-    share = sets.groupBy("comp").agg(F.count("*").alias("classes"), F.sum("n").alias("total"))
-    large = common.materialise(share.filter((F.col("classes") > GROUP_CLASSES) | (F.col("total") > GROUP_SHINGLES)).select("comp"), "large")
-    columns = ["group", "d1", "d2", "rep", "shingles"]
-    small = sets.join(large, "comp", "left_anti").withColumn("group", F.col("comp")).select(columns)
-    if large.isEmpty():
-        return small
+def _links(raw: DataFrame, plan: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
+    """The links (a, b) that searches in the groups of plan (n, d1, d2, rep, cluster, group) find."""
+    met = raw.join(plan.hint("merge"), ["n", "d1", "d2"]).select("group", "cluster", "rep", "raw")
+    return common.materialise(met.repartition("group").sortWithinPartitions("group").mapInArrow(_search_groups(k, num, den), "a long, b long"), name)
+
+
+def _blocks(classes, total, part: int = 1):
+    """How many blocks keep within the bounds of one search; `part` of them share it."""
+    return F.greatest(F.lit(1), F.ceil(classes * part / GROUP_CLASSES), F.ceil(total * part / GROUP_SHINGLES)).cast("int")
+
+
+def _counted(plan: DataFrame, *by) -> DataFrame:
+    return plan.groupBy(*by).agg(F.count("*").alias("classes"), F.sum("n").alias("total"))
+
+
+def _clusters(plan: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """plan with the cluster of each class by all links so far."""
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    found = graph.components(every)
+    roots = found.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    made = common.materialise(plan.drop("cluster").join(roots, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep")), "clusters")
+    common.drop(found)
+    return made
+
+
+def _large(raw: DataFrame, wide: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links within components that exceed one search; wide has (comp, n, d1, d2, rep)."""
     # sizes that may link lie in one size range or in two adjacent ones
-    step = float(np.log(den / num))
-    wide = sets.join(large, "comp").withColumn("band", F.floor(F.log("n") / F.lit(step) + 1e-9))
-    wide = wide.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("key", F.xxhash64("comp", "band"))
-    share = wide.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("classes") / (GROUP_CLASSES // 2)), F.ceil(F.col("total") / (GROUP_SHINGLES // 2)))
-    share = common.materialise(share.select("key", F.when((F.col("classes") > GROUP_CLASSES) | (F.col("total") > GROUP_SHINGLES), blocks).otherwise(1).cast("int").alias("blocks")), "blocks")
-    wide = wide.join(share, "key").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
-    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    wide = wide.withColumn("group", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    return small.unionByName(wide.select(columns))
+    step = float(np.log(den / num)) if den > num else 1e-9
+    wide = wide.withColumn("band", F.floor(F.log("n") / F.lit(step) + 1e-9))
+    wide = wide.withColumn("key", F.explode(F.array(F.xxhash64("comp", "band"), F.xxhash64("comp", F.col("band") - 1))))
+    wide = common.materialise(wide.join(_counted(wide, "key").select("key", _blocks(F.col("classes"), F.col("total")).alias("blocks")), "key").withColumn("cluster", F.col("rep")), "wide")
+    columns = ["n", "d1", "d2", "rep", "cluster", "group"]
+    block = lambda of, salt, blocks: F.pmod(F.xxhash64(*of, F.lit(salt)), blocks)
+    raw = common.materialise(raw.join(wide.select("n", "d1", "d2").distinct().hint("merge"), ["n", "d1", "d2"], "left_semi"), "large-raw")
+    links = [_links(raw, wide.withColumn("group", F.xxhash64("key", block(["d1", "d2"], 0, F.col("blocks")))).select(columns), k, num, den, "links")]
+    split = wide.filter("blocks > 1")  # the others have met whole
+    before = None
+    for r in range(1, ROUNDS + 2):
+        now = _clusters(split, links)
+        many = now.groupBy("key").agg(F.count_distinct("cluster").alias("clusters")).filter("clusters > 1")
+        left = many.agg(F.sum("clusters")).first()[0]
+        if not left or before and left > 0.8 * before or r > ROUNDS:
+            break
+        before = left
+        few = now.join(many.select("key"), "key", "left_semi").groupBy("key", "cluster", block(["d1"], r, F.lit(MEMBERS)).alias("member")).agg(F.min(F.struct(F.xxhash64("d2", F.lit(r)), "n", "d1", "d2", "rep")).alias("x"))
+        few = few.select("key", "cluster", "x.n", "x.d1", "x.d2", "x.rep")
+        few = few.join(_counted(few, "key").select("key", _blocks(F.col("classes"), F.col("total")).alias("blocks")), "key")
+        links.append(_links(raw, few.withColumn("group", F.xxhash64("key", block(["cluster"], r, F.col("blocks")))).select(columns), k, num, den, "links"))
+        common.drop(now)
+    if left:
+        links.append(_links(raw, _rest(now).select(columns), k, num, den, "links"))
+    common.drop(now, wide, raw)
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    out = common.materialise(every, "links")
+    common.drop(*links)
+    return out
+
+
+def _rest(now: DataFrame) -> DataFrame:
+    """Groups in which all sets of different clusters of a key meet: those outside its largest cluster meet all others in blocks."""
+    sizes = _counted(now, "key", "cluster")
+    most = sizes.groupBy("key").agg(F.max_by("cluster", F.struct("classes", "cluster")).alias("most"), F.count("*").alias("clusters")).filter("clusters > 1")
+    sizes = sizes.join(most, "key").groupBy("key", "most").agg(*(F.sum(F.when((F.col("cluster") == F.col("most")) == main, F.col(c))).alias(f"{c}_{side}") for side, main in (("m", True), ("o", False)) for c in ("classes", "total")))
+    sizes = sizes.select("key", "most", *(_blocks(F.col(f"classes_{x}"), F.col(f"total_{x}"), 2).alias(f"blocks_{x}") for x in "mo"))
+    rows = now.join(sizes, "key").withColumn("main", F.col("cluster") == F.col("most"))
+    own = F.pmod(F.xxhash64("d1", "d2"), F.when(F.col("main"), F.col("blocks_m")).otherwise(F.col("blocks_o"))).cast("int")
+    rows = rows.withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    # a pair is (block of the largest cluster, block of the others), or two blocks of the others
+    main = F.transform(upto(F.col("blocks_o")), lambda o: F.xxhash64("key", F.lit("m"), "own", o))
+    other = F.concat(
+        F.transform(upto(F.col("blocks_m")), lambda m: F.xxhash64("key", F.lit("m"), m, "own")),
+        F.transform(upto(F.col("blocks_o")), lambda o: F.xxhash64("key", F.lit("o"), F.least("own", o), F.greatest("own", o))),
+    )
+    return rows.withColumn("group", F.explode(F.when(F.col("main"), main).otherwise(other)))
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -480,39 +622,52 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     rows = common.texts(docs)
-    columns = "".join(f", {c} long" for c in SIGNATURE)
-    signed = common.materialise(rows.mapInArrow(_signatures(k), f"doc_id long, n long, d1 long, d2 long{columns}, chunk int, counts binary"), "signatures")
-    counts = common.total_counts(signed.filter("chunk is not null"), 2 * CELLS)
-    signed = signed.filter("chunk is null")
-    alike = signed.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.max(c).alias(c) for c in SIGNATURE))
+    first = common.materialise(rows.mapInArrow(_signatures(k), "doc_id long, n long, d1 long, d2 long, sig binary, chunk int, counts binary"), "signatures")
+    counts = common.total_counts(first.filter("chunk is not null"), 2 * CELLS)
+    signed = first.filter("chunk is null")
+    alike = signed.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("sig").alias("sig"))
     alike = common.materialise(alike, "classes")
-    signed = signed.select("doc_id", "n", "d1", "d2")
-
     work = signed.agg(F.sum(F.expr(f"n * {den - num} / {den} + 1"))).first()[0] or 0
+    kept = common.materialise(signed.select("doc_id", "n", "d1", "d2"), "digests")
+    common.drop(first)
+
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(work // 1_000_000) + 1)
     shared = spark.sparkContext.broadcast(counts)  # two sketches of fixed size
     shape = "edge boolean, key long, lo long, hi long, node long"
     lists = rows.mapInArrow(_prefixes(k, num, den, shared), shape)
     met = common.materialise(lists.repartition(tasks, "key").mapInArrow(_merge_lists(num, den), shape), "met")
-    signs = alike.groupBy("d1").agg(*(F.max(c).alias(c) for c in SIGNATURE))
-    entries = met.filter("not edge").join(signs, F.col("node") == F.col("d1")).select("key", "lo", "hi", "node", *SIGNATURE)
+    signs = alike.groupBy("d1").agg(F.max("sig").alias("sig"))
+    entries = met.filter("not edge").join(signs.hint("merge"), F.col("node") == F.col("d1")).select("key", "lo", "hi", "node", "sig")
     edges = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(num, den), "a long, b long")
     edges = edges.unionByName(met.filter("edge").select(F.col("key").alias("a"), F.col("node").alias("b")))
-    may_link = common.materialise(graph.components(edges), "may-link")
+    may_link = graph.components(edges)
+    common.drop(met)
     nodes = may_link.count()
+    linked = None
     if nodes:
         bits = spark.sparkContext.broadcast(_filter_of(may_link, nodes))  # FILTER_BITS[1] / 8 bytes at most
-        found = rows.mapInArrow(_sets(k, bits), "n long, d1 long, d2 long, rep long, shingles binary")
-        sets = found.join(may_link.select(F.col("node").alias("d1"), F.col("root").alias("comp")), "d1")
-        sets = common.materialise(sets.select("comp", "n", "d1", "d2", "rep", "shingles"), "sets")
-        groups = _groups(sets, num, den).repartition("group").sortWithinPartitions("group")
-        links = graph.components(groups.mapInArrow(_search_groups(num, den), "a long, b long"))
-        alike = alike.join(links.select(F.col("node").alias("rep"), F.col("root").alias("linked")), "rep", "left")
+        raw = common.materialise(rows.mapInArrow(_texts(k, bits), "n long, d1 long, d2 long, raw binary"), "raw")
+        plan = alike.select("n", "d1", "d2", "rep").join(may_link.select(F.col("node").alias("d1"), F.col("root").alias("comp")).hint("merge"), "d1")
+        plan = common.materialise(plan, "plan")
+        share = _counted(plan, "comp").filter((F.col("classes") > GROUP_CLASSES) | (F.col("total") > GROUP_SHINGLES))
+        large = common.materialise(share.select("comp"), "large")
+        small = plan.join(large, "comp", "left_anti").select("n", "d1", "d2", "rep", F.col("rep").alias("cluster"), F.col("comp").alias("group"))
+        links = [_links(raw, small, k, num, den, "links")]
+        if not large.isEmpty():
+            links.append(_large(raw, plan.join(large, "comp", "left_semi"), k, num, den))
+        linked = graph.components(links[0] if len(links) == 1 else links[0].unionByName(links[1]))
+        common.drop(raw, plan, large, *links)
+    common.drop(may_link)
+    if linked is not None:
+        alike_to = alike.join(linked.select(F.col("node").alias("rep"), F.col("root").alias("linked")), "rep", "left")
     else:
-        alike = alike.withColumn("linked", F.lit(None).cast("long"))
-    joined = alike.select("n", "d1", "d2", "rep", "copies", "linked").filter("copies > 1 or linked is not null").select(F.col("n").alias("n0"), "d1", "d2", F.coalesce("linked", "rep").alias("of"))
-    out = signed.join(joined, (F.col("n") == F.col("n0")) & (signed.d1 == joined.d1) & (signed.d2 == joined.d2) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("of", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        alike_to = alike.withColumn("linked", F.lit(None).cast("long"))
+    joined = alike_to.filter("copies > 1 or linked is not null").select("n", "d1", "d2", F.coalesce("linked", "rep").alias("of"))
+    joined = common.materialise(joined, "joined")
+    common.drop(alike, *([] if linked is None else [linked]))
+    same = [kept[c] == joined[c] for c in ("n", "d1", "d2")]
+    out = kept.join(joined, same[0] & same[1] & same[2] & kept["doc_id"].isNotNull(), "left")
+    return out.select(kept["doc_id"], kept["n"].alias("n_shingles"), F.when(kept["n"] > 0, F.coalesce("of", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -521,5 +676,5 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     Rows without words or without doc_id stay, as do all rows that repeat a doc_id that stays.
     """
     found = classes(docs, k, num, den)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")  # what goes grows with the corpus
+    kept, _ = common.marked(docs, found.filter("component_id <> doc_id").select("doc_id"))
+    return kept
