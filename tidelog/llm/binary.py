@@ -14,6 +14,7 @@ ordered by text; an empty table gives no parts and reads back as no rows.
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
 from itertools import accumulate
@@ -26,25 +27,41 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 
-#: Distinct runs of text whose ids a worker remembers before it starts anew, and the longest of them.
-REMEMBERED, LONG = 300_000, 64
+#: Distinct words whose ids a worker remembers before it starts anew.
+REMEMBERED = 1 << 20
 #: Bytes of text that one part is made from, about.
 PART_BYTES = 32 << 20
 _NONE = np.iinfo(np.int64).min
-_tokenizers: dict[str, "RunTokenizer"] = {}
+_tokenizers: dict[str, "WordTokenizer"] = {}
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+#: Characters from here on are left to the library.
+_TOP = 0x3000
 
 
-def tokenizer(path: str) -> "RunTokenizer":
+def _class_of(point: int) -> int:
+    c = chr(point)
+    kind = unicodedata.category(c)
+    if point in (0x85, 0xA0) or kind[0] == "Z" or 9 <= point <= 13:
+        return _SPACE
+    # what joins with its neighbours or grows in lower case would change where words begin
+    if kind[0] == "M" or kind in ("Cn", "Cs") or point == 0x130 or 0x1100 <= point < 0x1200 or unicodedata.normalize("NFC", c) != c:
+        return _ODD
+    return {"L": _LETTER, "N": _DIGIT}.get(kind[0], _OTHER)
+
+
+def tokenizer(path: str) -> "WordTokenizer":
     if path not in _tokenizers:
-        _tokenizers[path] = RunTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
-class RunTokenizer:
-    """Encodes with the tokenizers library, which sees each distinct run between blanks once while it is remembered.
+class WordTokenizer:
+    """Encodes with the tokenizers library, which sees each distinct word once while it is remembered.
 
-    Only for tokenizers that drop white space and split at it, as word_bpe_49k does.  Runs are remembered with their ids
-    as bytes, so a text is put together by one join; when the younger half of the memory is full the older half goes.
+    Only for tokenizers whose ids of a word do not depend on its neighbours and that split as word_bpe_49k does: at white
+    space, which is dropped, into contractions, runs of letters, single digits and runs of other characters.  Words are
+    found, hashed and looked up a block at a time.  Texts with characters that may join their neighbours, from rarer
+    scripts, or with what may be a special token go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -52,36 +69,110 @@ class RunTokenizer:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, runs: list[str]) -> dict[str, bytes]:
-        """The ids of distinct runs; the library takes them as the words of one text and says which id is whose."""
-        out = dict.fromkeys(runs, b"")
-        for k in range(0, len(runs), 4096):
-            part = runs[k : k + 4096]
-            e = self.own.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-            raw, ends = ids.tobytes(), np.searchsorted(word, np.arange(len(part) + 1)) * 4
-            out.update((r, raw[a:b]) for r, a, b in zip(part, ends.tolist(), ends[1:].tolist()))
+        self.classes = np.array([_class_of(i) for i in range(_TOP)], np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.begin, self.length = np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, np.int64)
+        self.ids, self.used = np.zeros(4 * REMEMBERED, "<u4"), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _classes(self, low: np.ndarray) -> np.ndarray:
+        """The class of every byte; all bytes of a character have that of the character."""
+        out = self.classes[np.minimum(low, 127)]
+        lead = np.flatnonzero(low >= 0xC0)
+        if len(lead):
+            b = [low[np.minimum(lead + i, len(low) - 1)].astype(np.int64) for i in range(3)]
+            two, three = (b[0] & 31) << 6 | b[1] & 63, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63
+            point = np.where(b[0] < 0xE0, two, three)
+            kind = np.where((b[0] >= 0xF0) | (point >= _TOP), _ODD, self.classes[np.minimum(point, _TOP - 1)]).astype(np.uint8)
+            out[lead] = kind
+            out[lead + 1] = kind
+            long = b[0] >= 0xE0
+            out[lead[long] + 2] = kind[long]
+            longer = b[0] >= 0xF0
+            out[lead[longer] + 3] = kind[longer]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        new = {r for runs in split for r in set(runs).difference(known)}
-        known.update((r, self.older[r]) for r in new.intersection(self.older))
-        fresh = self.learn([r for r in new if r not in known])
-        long = [r for r in fresh if len(r) > LONG]
-        known.update(fresh)
-        out = [np.frombuffer(b"".join(map(known.__getitem__, runs)), "<u4") for runs in split]
-        for r in long:
-            del known[r]
-        if len(known) > REMEMBERED:
-            self.older, self.known = known, {"": b""}
-        return out
+    def _words(self, low: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words of all rows."""
+        n = len(low)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        start = edge[:-1].copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        start |= (kind == _DIGIT) & ((low & 0xC0) != 0x80)
+        same = lambda i: (i < n) & (kind[np.minimum(i, n - 1)] == _LETTER) & ~edge[np.minimum(i, n)]
+        p = np.flatnonzero((low == 39) & start)  # an apostrophe before a letter may begin a contraction
+        p = p[same(p + 1)]
+        if len(p):
+            a = low[p + 1]
+            b = np.where(same(p + 2), low[np.minimum(p + 2, n - 1)], 0)
+            one = np.isin(a, list(b"stmd"))
+            two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+            p, size = p[one | two], np.where(one, 1, 2)[one | two]
+            start[p + 1] = False
+            rest = p + 1 + size
+            rest = rest[same(rest)]
+            start[rest] = True
+        inside = kind != _SPACE
+        start &= inside
+        stop = np.ones(n, bool)
+        stop[:-1] = start[1:] | ~inside[1:] | edge[1:-1]
+        return np.flatnonzero(start), np.flatnonzero(stop & inside) + 1
+
+    def _slots(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each word's ids among the remembered ones."""
+        word, first, back = np.unique(common.Spans(low).hash(start, end), return_index=True, return_inverse=True)
+        if len(self.known) + len(word) > REMEMBERED:
+            self._forget()
+            if len(word) > REMEMBERED:  # one very long text
+                self.begin, self.length = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        slots = np.fromiter(map(self.known.get, word.tolist(), [-1] * len(word)), np.int64, len(word))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            raw = low.tobytes()
+            made = self.own.encode_batch_fast([raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())], add_special_tokens=False)
+            lists = [e.ids for e in made]
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            at, total = len(self.known), int(size.sum())
+            if self.used + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), "<u4")])
+            self.ids[self.used : self.used + total] = [i for x in lists for i in x]
+            slots[new] = np.arange(at, at + len(new))
+            self.begin[at : at + len(new)] = self.used + np.cumsum(size) - size
+            self.length[at : at + len(new)] = size
+            self.used += total
+            self.known.update(zip(word[new].tolist(), range(at, at + len(new))))
+        return slots[back]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of a block one after another, and the bounds of each row in them."""
+        rows = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(rows + 1, np.int64)
+        low = common.LOWER[data]
+        kind = self._classes(low)
+        odd = kind == _ODD
+        odd[:-1] |= (low[:-1] == 60) & (low[1:] == 124)  # <|
+        apart = common.row_sums(odd.astype(np.int64), offsets) > 0
+        if apart.any():
+            kind[np.repeat(apart, np.diff(offsets))] = _SPACE
+        start, end = self._words(low, kind, offsets)
+        slots = self._slots(low, start, end) if len(start) else np.zeros(0, np.int64)
+        length = self.length[slots]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        flat = self.ids[np.arange(upto[-1]) + np.repeat(self.begin[slots] - upto[:-1], length)]
+        bounds = upto[np.searchsorted(start, offsets)]
+        if apart.any():
+            lists = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            for i in np.flatnonzero(apart).tolist():
+                lists[i] = self.whole(data[offsets[i] : offsets[i + 1]].tobytes().decode())
+            flat, bounds = np.concatenate(lists), np.cumsum([0, *map(len, lists)])
+        return flat, bounds
 
 
 def _open(uri: str):
@@ -115,15 +206,14 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2, width: int = 2,
         with fs.open_output_stream(f"{trial}.ids") as f:
             for batch in batches:
                 for b in common.pieces(batch):
-                    lists = own.encode([t or "" for t in b.column(1).to_pylist()])
-                    end = np.array([end_id], "<u4")
-                    ids = np.concatenate([x for own_ids in lists for x in (own_ids, end)])
+                    flat, bounds = own.encode(*common.bytes_of(b.column(1)))
+                    ids = np.insert(flat, bounds[1:], end_id)
                     if ids.max() >= 1 << 8 * width:
                         raise ValueError(f"an id needs more than {width} bytes")
-                    ends = n_ids + np.cumsum([len(x) + 1 for x in lists], dtype=np.int64)
+                    ends = n_ids + bounds[1:] + np.arange(1, len(bounds))
                     index.append(np.stack([np.array(b.column(0).fill_null(_NONE)), ends], 1).astype("<i8"))
                     f.write(ids.astype(kind).tobytes())
-                    n_docs, n_ids = n_docs + len(lists), int(ends[-1])
+                    n_docs, n_ids = n_docs + b.num_rows, int(ends[-1])
         if n_docs:
             with fs.open_output_stream(f"{trial}.idx") as f:
                 f.write(np.concatenate(index).tobytes())
