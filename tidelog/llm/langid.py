@@ -5,11 +5,14 @@ the ones whose hashed ids are smallest).  Since the classifier is linear in the
 folds embeddings and softmax weights into one small table per language and sums its cells over the whole text, a block of
 texts at a time.
 
-A temperature fitted on a held-back part of the sample calibrates the scores, and the rejection threshold is the score that
-all but a thousandth of its rightly predicted texts reach, CEILING at most.
+The softmax has one more class, for texts in no learned language: made-up examples of single letters repeated, letters drawn
+or shuffled at random, and letters of scripts that no sampled text has.  It is never predicted, but what it takes lowers
+the score of the best language.  A temperature fitted on a held-back part of the sample calibrates the scores, and
+the rejection threshold is the score that all but a thousandth of its rightly predicted texts reach.
 
 A null text, or one without a letter, is `und` with score 0 and is rejected; so is everything when no row is labelled.
-Texts are read whole.  Repeated rows are predicted alike.  Further columns are ignored.
+Texts are read whole.  Repeated rows are predicted alike.  Of equal scores the first language by name is predicted.  An empty
+table gives no rows.  Further columns, whatever their names, are ignored or, by keep, kept.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from tidelog.llm import common
 
 ORDERS = (2, 3, 4)
 BITS = 16
-#: The highest threshold of rejection.
-CEILING = 0.4
+#: Letters of scripts from which foreign examples are made, as ranges of code points.
+SCRIPTS = ((0x3B1, 0x3CA), (0x430, 0x450), (0x561, 0x587), (0x5D0, 0x5EB), (0x627, 0x64B), (0x905, 0x93A), (0xE01, 0xE2F), (0x10D0, 0x10F1), (0x3041, 0x3097), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
 _FOLD = common.LOWER.copy()
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
 
@@ -34,7 +37,7 @@ _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
-    #: One row a language: the logit of each n-gram bucket, all orders one after another.
+    #: One row a language and one for no language: the logit of each n-gram bucket, all orders one after another.
     cells: np.ndarray
     bias: np.ndarray
     temperature: float
@@ -64,10 +67,10 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list
 
 
 def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(rows, languages): mean cell of all n-grams plus bias."""
+    """(rows, languages + 1): mean cell of all n-grams plus bias."""
     ids, firsts, ends = grams(data, offsets)
     count = np.maximum(1, sum(e - f for f, e in zip(firsts, ends)))
-    out = np.empty((len(offsets) - 1, len(model.langs)))
+    out = np.empty((len(offsets) - 1, len(model.cells)))
     for j, cells in enumerate(model.cells):
         total = np.zeros(len(offsets) - 1)
         for i, f, e in zip(ids, firsts, ends):
@@ -82,11 +85,40 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def foreign(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Made-up texts in no language of the given ones, a third as many."""
+    seen = {ord(c) for t in texts for c in set(t)}
+    scripts = [s for s in SCRIPTS if not any(c in seen for c in range(*s))]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word(chars: str | tuple[int, int]) -> str:
+        size = int(rng.integers(1, 13))
+        if isinstance(chars, str):
+            return "".join(chars[i] for i in rng.integers(0, len(chars), size))
+        return "".join(map(chr, rng.integers(*chars, size)))
+
+    out = []
+    for k in range(-(-len(texts) // 3)):
+        n = int(rng.integers(1, 40))
+        if k % 4 == 0:
+            out.append(" ".join(letters[rng.integers(26)] * int(rng.integers(3, 30)) for _ in range(n if n < 5 else 1)))
+        elif k % 4 == 1:
+            out.append(" ".join(word(letters) for _ in range(n)))
+        elif k % 4 == 2 or not scripts:
+            chars = list(texts[int(rng.integers(len(texts)))][:400])
+            rng.shuffle(chars)
+            out.append("".join(chars) or "q")
+        else:
+            script = scripts[int(rng.integers(len(scripts)))]
+            out.append(" ".join(word(script) for _ in range(n)))
+    return out
+
+
 def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
     """Fits the model; each text also gives one excerpt of a few words, so that short texts are learned too."""
     names = tuple(sorted(set(langs)))
     if not names:
-        return Model((), np.zeros((0, len(ORDERS) << BITS), np.float32), np.zeros(0), 1.0, 1.0)
+        return Model((), np.zeros((1, len(ORDERS) << BITS), np.float32), np.zeros(1), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     examples, targets = [], []
     for t, lang in zip(texts, langs):
@@ -95,15 +127,18 @@ def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 6, r
         at = int(rng.integers(0, max(1, len(words) - k)))
         examples += [t, " ".join(words[at : at + k])]
         targets += [names.index(lang)] * 2
-    y = np.array(targets)
-    held = np.repeat(rng.random(len(texts)) < 0.2, 2) if len(texts) >= 50 else np.zeros(len(y), bool)
+    held = np.repeat(rng.random(len(texts)) < 0.2, 2) if len(texts) >= 50 else np.zeros(len(targets), bool)
+    other = foreign(texts, rng)
+    examples += other
+    y = np.array(targets + [len(names)] * len(other))
+    held = np.append(held, np.zeros(len(other), bool))
     feats = []
     for t in examples:
         raw = np.frombuffer(t.encode(), np.uint8)
         ids, firsts, ends = grams(raw, np.array([0, len(raw)]))
         u, c = np.unique(np.concatenate([i[f[0] : e[0]] for i, f, e in zip(ids, firsts, ends)]), return_counts=True)
         feats.append((u, (c / max(1, c.sum())).astype(np.float32)))
-    k = len(names)
+    k = len(names) + 1
     embed = rng.uniform(-1 / size, 1 / size, (len(ORDERS) << BITS, size)).astype(np.float32)
     weights, bias = np.zeros((k, size), np.float32), np.zeros(k, np.float32)
     order = np.flatnonzero(~held)
@@ -123,13 +158,13 @@ def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 6, r
             # a step of fixed length for the mean, however many n-grams share it
             embed[u] -= 0.5 * lr / (c @ c) * np.outer(c, back)
     model = Model(names, np.ascontiguousarray((embed @ weights.T).T), bias.astype(float), 1.0, 0.0)
-    check = np.flatnonzero(held) if held.any() else np.arange(len(y))
+    check = np.flatnonzero(held) if held.any() else np.arange(len(targets))
     z = np.stack([c @ model.cells[:, u].T + model.bias for u, c in (feats[i] for i in check)])
     loss = lambda t: -np.log(np.maximum(1e-12, softmax(z / t)[np.arange(len(check)), y[check]])).mean()
     temperature = min((0.1 * 1.25**i for i in range(4, 24)), key=loss)
     p = softmax(z / temperature)
-    right = p.max(1)[p.argmax(1) == y[check]]
-    threshold = min(CEILING, float(np.quantile(right, 0.001))) if len(right) else CEILING
+    right = p[:, :-1].max(1)[p[:, :-1].argmax(1) == y[check]]
+    threshold = float(np.quantile(right, 0.001)) if len(right) else 1.0
     return Model(names, model.cells, model.bias, float(temperature), threshold)
 
 
@@ -139,7 +174,9 @@ def fit(docs: DataFrame, learn_from, sample_rows: int = 3000) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(F.col("lang").isNotNull() & learn_from)
     ids = [r.doc_id for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
     chosen = spark.createDataFrame([(i,) for i in set(ids)], "doc_id long")  # sample_rows at most
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").filter("text is not null").limit(sample_rows).collect()
+    found = rows.join(F.broadcast(chosen), "doc_id", "left_semi").filter("text is not null")
+    # a repeated doc_id may bring more rows than ids: which of them stay is settled by order
+    sample = found.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text"), "text").limit(sample_rows).collect()
     sample.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return train([r.text for r in sample], [r.lang for r in sample])
 
@@ -170,7 +207,7 @@ def _rows(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFrame:
                     lettered[i] = any(c.isalpha() for c in b.column(1)[int(i)].as_py())
                 if own.langs:
                     p = softmax(logits(own, data, offsets) / own.temperature)
-                    best, score = p.argmax(1), np.clip(p.max(1), 0, 1)
+                    best, score = p[:, :-1].argmax(1), np.clip(p[:, :-1].max(1), 0, 1)
                 else:
                     best, score, lettered = np.zeros(b.num_rows, int), np.zeros(b.num_rows), lettered & False
                 names = np.array([*own.langs, "und"], object)[np.where(lettered, best, len(own.langs))]
