@@ -12,7 +12,9 @@ of documents, cut into equal lanes; a document boundary is a matrix that forgets
 no more steps than short ones.
 
 A null text counts as empty; an empty text has no tokens and the score that no toxic token gives.  Texts are read whole.
-Without labelled rows of both kinds the score is the share of toxic rows, 0 if there are none.  Further columns are ignored.
+Without labelled rows of both kinds the score is the share of toxic rows, 0 if there are none.  Repeated rows are scored alike; a
+doc_id with several labels is toxic if one says so; of equal hashes the smaller doc_id is learned from.  A null doc_id is
+scored but never learned from.  An empty table gives no rows.  Further columns, whatever their names, are ignored or, by keep, kept.
 """
 
 from __future__ import annotations
@@ -261,7 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, per_class: int = 800) ->
     for value, most in ((1, per_class), (0, 3 * per_class)):
         chosen += known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
     ids = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")  # 4 * per_class rows at most
-    sample = common.texts(docs).join(F.broadcast(ids), "doc_id").limit(4 * per_class).collect()
+    # a repeated doc_id may bring more rows than ids: which of them stay is settled by order
+    sample = common.texts(docs).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(4 * per_class).collect()
     sample.sort(key=lambda r: (r.doc_id, r.text or ""))
     return train([r.text or "" for r in sample], [r.toxic for r in sample])
 
