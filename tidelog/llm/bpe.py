@@ -7,13 +7,14 @@ enters a dead position twice; so the work is linear in the piece.  Whether two t
 is decided from their merge trees and memoised.
 
 Null texts count as empty; an empty text has no ids and decodes to no bytes; texts of any length are handled
-whole; repeated rows give repeated rows; further columns are ignored.
+whole; repeated rows and rows without doc_id give a row each; an empty table gives no rows.  Further columns are ignored or, if
+round_trip is to carry them, stay, but for those that its own columns replace.  Of several longest matches there is only one
+token, so nothing is left to chance.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from itertools import chain
 
@@ -37,7 +38,6 @@ _codecs: dict[tuple, "BytePairCodec"] = {}
 def codec(path: str, pattern: str) -> "BytePairCodec":
     """The codec of this process; built once a worker."""
     if (path, pattern) not in _codecs:
-        gc.disable()  # the memory holds many small tuples and no cycles
         _codecs[path, pattern] = BytePairCodec.load(path, pattern)
     return _codecs[path, pattern]
 
@@ -229,8 +229,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...]
     Ids live only within a block of about a megabyte of text, so no task holds more than its largest text.
     """
     common.ship(docs.sparkSession)
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *(f"`{c}`" for c in carry))
-    kinds = "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in carry)
+    own_names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    carry = tuple(c for c in carry if c.lower() not in own_names)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(carry)))
+    kinds = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)
 
     def run(batches):
         own = codec(path, pattern)
