@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -136,6 +137,64 @@ def test_decontamination_equals_brute_force(spark, sf):
     assert want and got == want
 
 
+def template_match(doc, item, window=8, least=5):
+    """Whether a diagonal of the two texts has a window alike word for word, or alike but for slots that agree all along."""
+    ends = ".!?:;\n\""
+
+    def words(text):
+        out, last = [], 0
+        for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text):
+            out.append([m[0], not out or any(c in ends for c in text[last : m.start()]), 0])
+            last = m.end()
+        return out
+
+    def readings(own):
+        made = []
+        for names_begin in (False, True):
+            kinds = []
+            for k, (w, begins, _) in enumerate(own):
+                number = w[0].isdigit() or w.lower() in decontaminate.NUMBERS
+                unit = not number and k and kinds[-1] == "#" and w.lower() in decontaminate.UNITS
+                name = w[0].isupper() and (names_begin or not begins)
+                kinds.append("#" if number else "u" if unit else "N" if name else "")
+            made.append(kinds)
+        return made
+
+    a, b = words(doc), words(item)
+    size = min(window, len(b))
+    low = [[w.lower() for w, _, _ in x] for x in (a, b)]
+    ra, rb = readings(a), readings(b)
+    for shift in range(-len(b), len(a)):
+        places = [(k + shift, k) for k in range(len(b) - size + 1) if 0 <= k + shift <= len(a) - size]
+        if any(low[0][x : x + size] == low[1][y : y + size] for x, y in places):
+            return True
+        for r in (0, 1):
+            view = [[k or w for k, w in zip(kinds, ws)] for kinds, ws in ((ra[r], low[0]), (rb[r], low[1]))]
+            pairs = set()
+            for x, y in places:
+                fixed = sum(not k for k in rb[r][y : y + size])
+                if view[0][x : x + size] == view[1][y : y + size] and least <= fixed < size:
+                    pairs |= {(low[1][y + j], low[0][x + j]) for j in range(size) if rb[r][y + j]}
+            if pairs and len(pairs) == len({p for p, _ in pairs}):
+                return True
+    return False
+
+
+def test_decontamination_of_planted_templates_equals_brute_force(spark, sf):
+    r = random.Random(6)
+    people, things = "Tom Mary Anna Bob Eve Jim".split(), "apples pears coins stones".split()
+    make = lambda seed: (lambda q: f"A farmer called {q.choice(people)} sells {q.randrange(90)} red {things[seed % 4]} for {q.randrange(9)} dollars in shop number {seed} and walks {q.randrange(80)} km home to {q.choice(people)}")
+    items = [make(i)(random.Random(i)) for i in range(6)] + ["only four words here", "zebra"]
+    docs = [x.text or "" for x in common.table(spark, sf, "documents").orderBy("doc_id").limit(60).collect()]
+    for i in range(0, 60, 3):
+        w = docs[i][:400]
+        docs[i] = f"{w} {make(i % 6)(r)}. {w}" if i % 2 else f"{w[:100]} {items[i % 6].lower()}"
+    docs += ["We say only FOUR words here now", "a zebra.", "zebras", "words four only here"]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find(docs_of(spark, docs), items_of(spark, items)).collect()}
+    want = {(i, k) for i, d in enumerate(docs) for k, item in enumerate(items) if template_match(d, item)}
+    assert got == want and len({i for i, _ in want}) >= 20
+
+
 # --- 3
 
 
@@ -217,6 +276,8 @@ def test_language(spark):
     assert np.mean([got[i].lang_pred == rows[i][2] for i in held]) > 0.97
     assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].lang_pred in ("en", "fr", "de")
     assert all(0 <= r.score <= 1 for r in got.values()) and got[1000].score == 0
+    odd = ["Съешь ещё этих мягких булок", "我们今天去学校学习中文", "aaaaaaaaaaaaaaaa", "Η γρήγορη αλεπού πηδάει", "xqzzv qqwkx zzvjk"]
+    assert not any(r.accepted for r in langid.predict(docs_of(spark, odd), model).collect())
     kept = langid.keep(docs, common.remainder(4) != 2)
     assert kept.columns == docs.columns and len([1 for r in kept.collect() if r.doc_id < 400]) >= 396
     none = langid.fit(docs.filter("lang is null"), common.remainder(4) != 2)
@@ -277,6 +338,21 @@ def test_ngram_join_splits_large_components(spark, monkeypatch):
     assert [got[i] for i in range(150)] == [c for _, c in brute_classes(texts, 3, 80, 100)]
 
 
+def test_large_component_is_dealt_in_proportion(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(5000):  # near copies, all of them different
+        w = list(base)
+        w[r.randrange(100)] = f"own{i}"
+        texts.append(" ".join(w))
+    dealt, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda raw, plan, *rest: (dealt.append(plan.count()), links(raw, plan, *rest))[1])
+    rows = ngram_join.classes(docs_of(spark, texts), 3, 80, 100).collect()
+    assert {x.component_id for x in rows} == {0} and len(rows) == 5000
+    assert 5000 <= sum(dealt) <= 3 * 5000, dealt
+
+
 @pytest.mark.parametrize("list_rows, meet_rows, num", [(64, 20_000, 90), (3, 20_000, 90), (3, 5, 80), (1, 2, 80)])
 def test_lists_keep_all_that_may_link(monkeypatch, list_rows, meet_rows, num):
     monkeypatch.setattr(ngram_join, "MEET_ROWS", meet_rows)
@@ -355,58 +431,65 @@ def test_components(spark):
 # --- 7
 
 
-def test_lm_difference(spark):
-    rows = corpus(200, 5)
-    docs = spark.createDataFrame([(*r, "x") for r in rows] + [(900, None, None, "x"), (901, " ! ", None, "x")], "doc_id long, text string, lang string, target string").repartition(3)
-    model = lm_score.fit(docs, docs.filter("lang = 'fr' and doc_id < 100").select("doc_id"), 500)
-    got = {r.doc_id: r for r in lm_score.score(docs, model).collect()}
-    new = [(got[i].score, lang) for i, _, lang in rows if i >= 100]
-    assert max(s for s, lang in new if lang == "fr") < min(s for s, lang in new if lang != "fr")
-    assert (got[900].n_tokens, got[900].score) == (0, 0) and got[901].score == 0
-    words, background, target = model
-    # brute force of one document's losses
-    tokens = [re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (t or "").lower()) for _, t, _ in rows]
-    assert background[: len(words) + 2].sum() == sum(map(len, tokens))
-    assert target[: len(words) + 2].sum() == sum(len(w) for w, (i, _, lang) in zip(tokens, rows) if lang == "fr" and i < 100)
-    pairs, before = collections.Counter(), collections.Counter()
-    for w in tokens:
-        pairs.update(zip(["^", *w], w))
-        before.update(["^", *w][: len(w)])
-    known = {w for w, _ in collections.Counter(x for w in tokens for x in w).items()}
-    if len(known) <= len(words):
-        uni = np.array([before[w] + 0.5 for w in known])
-        total = uni.sum() + 0.5
-        w = tokens[0]
-        loss = [-np.log((pairs[a, b] + 16 * (before[b] + 0.5) / total) / (before[a] + 16)) for a, b in zip(["^", *w], w)]
-        assert abs(np.mean(loss) - got[0].loss_background) < 1e-3
-    everything = lm_score.fit(docs, docs.select("doc_id"), 500)
-    assert all(abs(r.score) < 1e-9 for r in lm_score.score(docs, everything).collect())
-    empty = lm_score.fit(docs.limit(0), docs.limit(0).select("doc_id"))
-    assert lm_score.score(docs, empty).count() == 202
-
-
-def test_lm_counts_all_words_and_bigrams(spark):
-    r = random.Random(2)
-    texts = [" ".join([f"w{r.randrange(9)}" if r.random() < 0.2 else f"only{r.randrange(100_000)}" for _ in range(1000)]) for _ in range(80)] + ["", None, "a", "a a a A"]
-    docs = docs_of(spark, [*texts, texts[0]], [*range(len(texts)), None])  # about 60,000 words, 75,000 bigrams
-    rows = lm_score.differences(docs, spark.range(40).withColumnRenamed("id", "doc_id")).collect()
-    got = {r.doc_id: r for r in rows}
-    assert len(rows) == len(texts) + 1 and got[80].n_tokens == got[81].n_tokens == got[81].score == 0 and got[83].n_tokens == 4
-    tokens = [(t or "").lower().split() for t in [*texts, texts[0]]]
+def brute_losses(texts, target):
+    """Losses of each text by the target and the background model, both without the text's own counts."""
+    tokens = [re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (t or "").lower()) for t in texts]
     vocabulary = {w for t in tokens for w in t}
-    loss = []
-    for some in (tokens[:40], tokens):
+
+    def count(some):
         pairs, before = collections.Counter(), collections.Counter()
         for w in some:
             pairs.update(zip(["^", *w], w))
             before.update(["^", *w][: len(w)])
-        total = sum(n + 0.0 for w, n in before.items() if w != "^") + 0.5 * (len(vocabulary) + 1)
-        loss.append([np.mean([-np.log((pairs[a, b] + 16 * (before[b] + 0.5) / total) / (before[a] + 16)) for a, b in zip(["^", *w], w)] or [0]) for w in tokens])
-    for i in (0, 3, 50, 79, 82, 83):
-        assert abs(got[i].loss_target - loss[0][i]) < 1e-9 and abs(got[i].loss_background - loss[1][i]) < 1e-9
-    assert abs(got[None].score - (loss[0][0] - loss[1][0])) < 1e-9
-    assert all(r.score == 0 for r in lm_score.differences(docs, spark.range(0).withColumnRenamed("id", "doc_id")).collect())
+        return pairs, before
+
+    out = []
+    every, wanted = count(tokens), count(t for t, on in zip(tokens, target) if on)
+    for w, on in zip(tokens, target):
+        own = count([w])
+        both = []
+        for (pairs, before), counted in ((wanted, on), (every, True)):
+            p = lambda x: pairs[x] - counted * own[0][x]
+            c = lambda x: before[x] - counted * own[1][x]
+            total = sum(before.values()) - before["^"] - counted * (sum(own[1].values()) - own[1]["^"]) + 0.5 * (len(vocabulary) + 1)
+            both.append(np.mean([-np.log((p((a, b)) + 16 * (c(b) + 0.5) / total) / (c(a) + 16)) for a, b in zip(["^", *w], w)] or [0]))
+        out.append((len(w), *both))
+    return out
+
+
+def test_lm_difference(spark):
+    rows = corpus(200, 5) + [(900, None, None), (901, " ! ", None)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, target string, block string").repartition(3)
+    target = [lang == "fr" and i < 100 for i, _, lang in rows]
+    got = {r.doc_id: r for r in lm_score.differences(docs, docs.filter("lang = 'fr' and doc_id < 100").select("doc_id")).collect()}
+    want = brute_losses([t for _, t, _ in rows], target)
+    for (i, _, _), (n, a, b) in zip(rows, want):
+        assert got[i].n_tokens == n and abs(got[i].loss_target - a) < 1e-9 and abs(got[i].loss_background - b) < 1e-9 and got[i].score == got[i].loss_target - got[i].loss_background
+    new = [(got[i].score, lang) for i, _, lang in rows if 100 <= i < 900]
+    assert max(s for s, lang in new if lang == "fr") < min(s for s, lang in new if lang != "fr")
+    # a target scores as one of its kind that is none
+    seen = np.mean([got[i].score for (i, _, lang), on in zip(rows, target) if on])
+    assert abs(seen - np.mean([s for s, lang in new if lang == "fr"])) < 0.3
+
+
+def test_lm_counts_all_words_and_bigrams(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK", 3000)
+    r = random.Random(2)
+    texts = [" ".join([f"w{r.randrange(9)}" if r.random() < 0.2 else f"only{r.randrange(100_000)}" for _ in range(1000)]) for _ in range(40)] + ["", None, "a", "a a a A"]
+    texts.append(texts[0])
+    docs = docs_of(spark, texts, [*range(44), None])  # about 30,000 words and more bigrams
+    rows = lm_score.differences(docs, spark.range(20).withColumnRenamed("id", "doc_id")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 45
+    for i, (n, a, b) in zip([*range(44), None], brute_losses(texts, [i < 20 for i in range(45)])):
+        assert got[i].n_tokens == n and abs(got[i].loss_target - a) < 1e-9 and abs(got[i].loss_background - b) < 1e-9
+    # what stands there twice is known to the background, what stands there once is not
+    assert got[0].loss_background < got[1].loss_background - 1
+    for targets in (spark.range(0), spark.range(0).selectExpr("cast(null as long) id")):
+        assert all(r.score == 0 for r in lm_score.differences(docs, targets.withColumnRenamed("id", "doc_id")).collect())
     assert lm_score.differences(docs.limit(0), docs.select("doc_id")).count() == 0
+    twice = docs_of(spark, ["b c", "b c", "x " * 20_000], [7, 7, 8])
+    assert sorted(r.n_tokens for r in lm_score.differences(twice, twice.select("doc_id")).collect()) == [2, 2, 20_000]
 
 
 # --- 8
@@ -415,8 +498,7 @@ def test_lm_counts_all_words_and_bigrams(spark):
 def test_token_files(spark, tmp_path):
     path = vocabulary("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    texts = odd_texts(300)
+    texts = odd_texts(300) + ["".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x3100, 64)] + ["'s x's ''s 'LL a'vel", "<|endoftext|> z", "Z<|startoftext|>z", "x" + "long " * 300_000]
     docs = docs_of(spark, texts, [i * 3 - 20 for i in range(len(texts))])
     manifest = binary.write(docs, path, str(tmp_path / "out"), end_id=2, parts=4)
     rows = sorted(binary.read(spark, manifest, str(tmp_path / "out")).collect())
@@ -460,20 +542,70 @@ def test_merkle(spark):
     long = " ".join(f"word{i}" for i in range(900)) + "."
     a, b = long, long.replace("word880", "other")
     df = spark.createDataFrame([("x\n\n" + a + "\n\nz", "x\n\n" + b + "\n\nz")], "a string, b string").select(merkle.fingerprint("a").alias("a"), merkle.fingerprint("b").alias("b"))
-    got = df.select(merkle.likeness("a", "b").alias("n"), merkle.differing_sections("a", "b").alias("d")).first()
-    assert 0.97 < got.n < 1 and got.d == [2]
+    got = df.select(merkle.likeness("a", "b").alias("n"), merkle.differing("a", "b").alias("d")).first()
+    assert 0.97 < got.n < 1 and got.d.sections_a == got.d.sections_b == [2]
+
+
+def own_fingerprint(text):
+    """The tree's hashes and distinct leaves, without Spark but for the 24-bit phrase codes, which are the phrases themselves."""
+    sections = [s for s in re.split(r"(?<=\n)(?=[ \t]*\n)", text)]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    tree = [[md5(p) for p in re.split(r"(?<=\n)", s)] for s in sections]
+    heads = [md5(",".join(ps)) for ps in tree]
+    phrases = [[re.findall(r"[^\s.!?]+(?:[ \t]+[^\s.!?]+){0,3}[.!?]*|[.!?]+", p) for p in re.split(r"(?<=\n)", s)] for s in sections]
+    return hashlib.sha256(";".join(heads).encode()).hexdigest(), [h[:16] for h in heads], [[p[:12] for p in ps] for ps in tree], {x for s in phrases for p in s for x in p}
+
+
+def test_merkle_equals_own_tree(spark):
+    texts = ["", "One two three. Four five!\nNext line here\n\nNew section with words.", "a\n \nb\n\n\nc d e f g h. i", "x", "One two three. Four five!\nOther line\n\nNew section with words."]
+    rows = {r.doc_id: r for r in merkle.compare_with_edit(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        root, heads, paragraphs, leaves = own_fingerprint(t)
+        code, tree = rows[i].fingerprint.split(":")
+        parts = [x.split("{") for x in tree.split("}") if x]
+        assert code == root and [x[0] for x in parts] == heads
+        assert [[p.split("~")[0] for p in x[1].split("|")] for x in parts] == paragraphs
+        _, _, _, after = own_fingerprint(texts[i - 1])
+        want = 1.0 if t == texts[i - 1] else 2 * len(leaves & after) / (len(leaves) + len(after)) if leaves or after else 0.0
+        assert abs(rows[i].near_next - want) < 1e-9
+
+
+def test_merkle_locates_edits(spark):
+    a, b, c, d = "first one\nmore\n", "\nsecond one\nits end\n", "\nthird\n", "\nfourth one"
+    cases = {
+        "same": (a + b + c, a + b + c, ([], [], [], [])),
+        "deleted": (a + b + c, a + c, ([2], [], [(2, 1), (2, 2), (2, 3), (2, 4)], [])),
+        "inserted": (a + c, a + b + c, ([], [2], [], [(2, 1), (2, 2), (2, 3), (2, 4)])),
+        "moved": (a + b + c + d, a + c + b + d, ([2, 3], [2, 3], None, None)),
+        "changed": (a + b + c + d, a + b.replace("its", "the") + c + d, ([2], [2], [(2, 3)], [(2, 3)])),
+        "two": (a + b + c + d, a.replace("more", "less") + b + c.replace("third", "3rd") + d, ([1, 3], [1, 3], [(1, 2), (3, 2)], [(1, 2), (3, 2)])),
+        "all": ("x", "y", ([1], [1], [(1, 1)], [(1, 1)])),
+    }
+    df = spark.createDataFrame([(k, x, y) for k, (x, y, _) in cases.items()], "k string, x string, y string").select("k", merkle.fingerprint("x").alias("x"), merkle.fingerprint("y").alias("y"))
+    for r in df.select("k", merkle.differing("x", "y").alias("d")).collect():
+        for got, want in zip(r.d, cases[r.k][2]):
+            assert want is None or [tuple(g) if isinstance(g, tuple) else g for g in got] == want, (r.k, got)
+
+
+def test_merkle_is_linear_in_blank_lines(spark):
+    lines = "\n" * 50_000
+    began = time.monotonic()
+    row = merkle.compare_with_edit(docs_of(spark, [lines, lines + "end", "w " * 700_000], [1, 2, 3])).filter("doc_id = 2").first()
+    assert row.n_chars == 50_003 and row.differing_sections > 0 and time.monotonic() - began < 60
 
 
 def test_merkle_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(merkle, "BUCKET_ROWS", 5)
-    monkeypatch.setattr(merkle, "BOUNDARIES", 3)
-    ids = random.Random(1).sample(range(-500, 10**12), 60) + [None, 10**15]
+    monkeypatch.setattr(merkle, "SORTED_ROWS", 20)
+    # ids in a clump, far apart, repeated and missing
+    ids = [*range(40), *random.Random(1).sample(range(-500, 10**12), 30), 10**15] + [7] * 15 + [None] * 15
     texts = [f"text number {i} of many" for i in range(len(ids))]
     rows = merkle.with_next(common.texts(docs_of(spark, texts, ids)), {}).collect()
     low = lambda x: -(1 << 63) if x is None else x
-    order = sorted(zip(ids, texts), key=lambda x: -low(x[0]))
-    want = {order[i][0]: order[(i + 1) % len(order)][1] for i in range(len(order))}
-    assert {r.doc_id: r.next_text for r in rows} == want and len(rows) == len(ids)
+    hashed = {r.text: r.h for r in docs_of(spark, texts).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(zip(ids, texts), key=lambda x: (low(x[0]), hashed[x[1]]), reverse=True)
+    want = {order[i][1]: order[(i + 1) % len(order)][1] for i in range(len(order))}
+    assert {r.text: r.next_text for r in rows} == want and len(rows) == len(ids)
 
 
 # --- 10
@@ -531,9 +663,82 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+# --- all
+
+
+def test_odd_tables(spark, sf):
+    """Null and repeated ids, null, empty and very long texts, and columns named like the operators' own."""
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    ids, texts = [None, None, 5, 5, 7, 8, 9, 10], ["twin text here", "twin text here", "", None, long, long + " end", "alone", "The end of the long story is near."]
+    names = "gone key word bits target block shard group comp cluster rep raw sig edge node lo hi n c0 copy place tops bucket fine".split()
+    docs = spark.createDataFrame([(i, t, "en", *names) for i, t in zip(ids, texts)], ", ".join(["doc_id long", "text string", "lang string", *(f"`{n}` string" for n in names)])).repartition(3)
+    none = docs.limit(0)
+    items = items_of(spark, ["the end of the long story is near", None])
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    labels = spark.createDataFrame([(7, 1, 1), (9, 0, 0), (None, 1, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
+    langs = langid.fit(docs, F.lit(True))
+    bad = toxicity.fit(docs, labels, F.lit(True))
+    whole = {
+        "bpe": lambda d: bpe.round_trip(d, path, pattern(), tuple(names)),
+        "langid": lambda d: langid.predict(d, langs),
+        "ngram": lambda d: ngram_join.classes(d, 3, 90, 100),
+        "lm": lambda d: lm_score.differences(d, labels),
+        "shards": lambda d: sharding.assign(d, 3),
+        "merkle": merkle.compare_with_edit,
+        "toxicity": lambda d: toxicity.score(d, bad),
+    }
+    for name, f in whole.items():
+        key = lambda r: (r is not None, r)
+        assert sorted([r.doc_id for r in f(docs).select("doc_id").collect()], key=key) == sorted(ids, key=key), name
+        assert f(none).count() == 0, name
+    joined = {(r.doc_id, r.component_id) for r in ngram_join.classes(docs, 3, 90, 100).collect() if r.doc_id}
+    assert joined == {(5, 5), (7, 7), (8, 7), (9, 9), (10, 10)}
+    for kept, want in ((ngram_join.keep_one(docs), [5, 5, 7, 9, 10]), (decontaminate.keep(docs, items), [5, 5, 7, 8, 9])):
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == want
+        assert kept.filter("doc_id is null").count() == 2
+    for keep in (lambda d: langid.keep(d, F.lit(True)), lambda d: toxicity.keep(d, labels, F.lit(True)), ngram_join.keep_one, lambda d: decontaminate.keep(d, items)):
+        assert keep(none).columns == docs.columns and keep(none).count() == 0
+    tables = {"a": [(None, 1, "user", "x"), (None, None, "assistant", "y"), (1, 2, "user", None), (1, 2, "user", None)]}
+    turns = spark.createDataFrame([(*x, "c", "d") for x in tables["a"]], "conv_id long, turn long, role string, text string, part string, ids string")
+    back = {r.conv_id: r.n_turns for r in chat.read_back(chat.format_chat(turns, path, pattern(), 50257), path, pattern(), 50257).collect()}
+    assert back == {None: 2, 1: 2}
+
+
+def test_the_bit_map_only_spares_work(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAP_ROWS", 4)  # every cell is taken
+    docs = docs_of(spark, [str(i) for i in range(900)], [*range(898), None, 7])
+    ids = spark.range(0, 900, 3).withColumnRenamed("id", "doc_id")
+    out, inside = common.marked(docs, ids)
+    assert sorted(r.doc_id for r in inside.collect()) == list(range(0, 898, 3))
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted([i for i in range(898) if i % 3] + [7])
+    assert out.filter("doc_id is null").count() == 1 and out.columns == docs.columns
+
+
+def test_shared_folder_is_asked_for_beyond_local_mode():
+    class Far:
+        class sparkContext:
+            master = "spark://far:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+            getConf = staticmethod(lambda: {})
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Far)
+
+
 # --- pipeline
 
 
+def test_pipeline_of_an_empty_table(spark, sf):
+    import corpus_pipeline
+
+    docs = common.table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), sf)
+        assert out.count() == 0, name
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
@@ -560,7 +765,7 @@ def test_queries_give_a_row_a_document(spark, sf, name):
         assert rows.count() == common.table(spark, sf, table).select("conv_id").distinct().count() + 1
     else:
         assert sorted(r[0] for r in rows.select("doc_id").collect()) == sorted(r[0] for r in common.table(spark, sf, table).select("doc_id").collect())
-    assert rows.filter(F.lit(False)).count() == 0
+    assert len(set(rows.columns)) == len(rows.columns)
 
 
 def test_ngram_join_equals_sql(spark, sf, duck):
