@@ -1,5 +1,7 @@
 """The store over files: restarts, deletes, compaction, streams, binary formats."""
 
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tidelog.engine import Store
 from tidelog.errors import StoreError
 from tidelog.model import CHANGELOG, DELETE, PUT
 from tidelog.operators.runs import RunStore
-from tidelog.sources.binary import SstSource, WalSource, decode_index, decode_log, decode_run, encode_log_record, encode_run
+from tidelog.sources.binary import PushedSstSource, RunFile, SstSource, WalSource, decode_index, decode_log, decode_run, encode_log_record, encode_run, verify_run
 from tidelog.streaming.ingest import ingest, latest_by_key
 
 
@@ -99,8 +101,18 @@ def test_run_format(tmp_path, capsys):
     for at in (41, 53):
         broken = bytearray(data)
         broken[at] ^= 0xFF
-        with pytest.raises((StoreError, Exception)):
+        with pytest.raises(StoreError, match="CHECKSUM_MISMATCH"):
             list(decode_run(bytes(broken)))
+    head = bytearray(data)
+    head[3] ^= 0xFF
+    with pytest.raises(StoreError, match="CORRUPT_SSTABLE_HEADER"):
+        list(decode_run(bytes(head)))
+    with pytest.raises(StoreError, match="CHECKSUM_MISMATCH"):
+        list(decode_run(data[:60]))
+    tail = bytearray(data)
+    tail[-1] ^= 0xFF
+    with pytest.raises(StoreError, match="CHECKSUM_MISMATCH"):
+        verify_run(bytes(tail))
     path = tmp_path / "x.sst"
     path.write_bytes(encode_run([(b"key%d" % i, b"value%d" % i if i < 3 else b"") for i in range(1, 4)]))
     assert inspect.main([str(path), "--verify", "--list"]) == 0
@@ -120,3 +132,61 @@ def test_data_sources(spark, tmp_path):
         rows.coalesce(1).sortWithinPartitions("key").write.format(kind).mode("append").save(str(tmp_path / kind))
         back = spark.read.format(kind).load(str(tmp_path / kind))
         assert sorted((bytes(r.key), r.op) for r in back.collect()) == [(b"a", PUT), (b"b", DELETE)]
+
+
+def test_sinks_append_and_overwrite(spark, tmp_path):
+    spark.dataSource.register(WalSource)
+    spark.dataSource.register(SstSource)
+    row = lambda i: spark.createDataFrame([(PUT, bytearray(b"k%d" % i), bytearray(b"v"))], "op int, key binary, value binary").coalesce(1)
+    for kind in ("wal", "sst"):
+        path = str(tmp_path / kind)
+        for i in range(3):
+            row(i).write.format(kind).mode("append").save(f"file://{path}" if i else path)
+        assert sorted(bytes(r.key) for r in spark.read.format(kind).load(path).collect()) == [b"k0", b"k1", b"k2"]
+        assert spark.read.format(kind).load(f"{path}/*1.{kind}").count() == 1
+        row(9).write.format(kind).mode("overwrite").save(path)
+        assert [bytes(r.key) for r in spark.read.format(kind).load(path).collect()] == [b"k9"]
+
+
+def test_point_reads_touch_one_block(spark, tmp_path):
+    rows = [(b"key-%03d" % i, b"" if i == 200 else b"v%d" % i) for i in range(300)]
+    read = []
+
+    class Watched(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+        def read(self, n=-1):
+            read.append(n)
+            return super().read(n)
+
+    data = encode_run(rows)
+    run = RunFile(Watched(data))
+    read.clear()
+    assert run.get(b"key-130") == ("FOUND", b"v130") and len(read) == 1 and read[0] < len(data) / 2
+    assert run.get(b"key-200") == ("DELETED", None) and run.get(b"key-1305") == run.get(b"a") == run.get(b"z") == ("NOT_FOUND", None)
+    assert [k for _, _, k, _ in run.scan(b"key-127", b"key-129")] == [b"key-127", b"key-128", b"key-129"]
+    (tmp_path / "1.sst").write_bytes(data)
+    spark.dataSource.register(PushedSstSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        found = spark.read.format("sst_pushed").load(str(tmp_path)).filter(F.col("key") == F.lit(bytearray(b"key-130")))
+        assert [bytes(r.value) for r in found.collect()] == [b"v130"]
+        part = spark.read.format("sst_pushed").load(str(tmp_path)).filter((F.col("key") > F.lit(bytearray(b"key-126"))) & (F.col("key") <= F.lit(bytearray(b"key-129"))))
+        assert part.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_tagged_batch_counts_once(spark, tmp_path):
+    batch = spark.createDataFrame([(0, PUT, bytearray(b"k"), bytearray(b"old"))], CHANGELOG)
+    with Store(spark, str(tmp_path), StoreConfig(memtable_max=150)) as s:
+        s.append(batch, "b.0")
+        s.put(b"k", b"new")  # 68 bytes each: no flush yet
+        assert not s.runs.entries()
+        s.append(batch, "b.0")
+        assert s.get(b"k") == b"new"
+        s.put(b"l", b"x" * 20)
+        assert len(s.runs.entries()) == 1 and s._batches() == []
+        s.append(batch, "b.0")
+        assert s.get(b"k") == b"new"

@@ -59,25 +59,40 @@ class Store:
         if self.state is not State.RUNNING:
             raise StoreError("ENGINE_CLOSED", f"the store is {self.state.name}")
 
-    def _log(self) -> DataFrame:
+    def _batches(self) -> list[str]:
+        """Folders of the log's complete batches, named by first seq, bytes and, if given, tag."""
         fs, path = self.runs._fs, self.runs._path(f"{self.root}/log")
-        if not fs.exists(path) or not fs.listStatus(path):
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n for n in names if fs.exists(self.runs._path(f"{self.root}/log/{n}/_SUCCESS")))
+
+    def _log(self, batches: list[str] | None = None) -> DataFrame:
+        batches = self._batches() if batches is None else batches
+        if not batches:
             return self.spark.createDataFrame([], CHANGELOG)
-        return self.spark.read.schema(CHANGELOG).option("recursiveFileLookup", "true").parquet(f"{self.root}/log")
+        return self.spark.read.schema(CHANGELOG).parquet(*(f"{self.root}/log/{n}" for n in batches))
 
     # --- writes
 
-    def append(self, changes: DataFrame) -> None:
-        """Appends a changelog (seq, op, key, value); its seqs order the batch, and the store numbers them on from its last."""
+    def append(self, changes: DataFrame, tag: str | None = None) -> None:
+        """Appends a changelog (seq, op, key, value); its seqs order the batch, and the store numbers them on from its last.
+
+        A batch with a tag that was appended before changes nothing.  Each batch keeps the size of its entries in its name,
+        so that deciding on a flush reads no log; a key that several batches write counts in each.
+        """
         self._ready()
-        self.backpressure.wait()
-        top = changes.agg(F.max("seq"), F.min("seq")).first()
-        if top[0] is None:
+        mark = None if tag is None else self.runs._path(f"{self.root}/tags/{tag}")
+        if mark is not None and (self.runs._fs.exists(mark) or any(n.endswith(f"-{tag}") for n in self._batches())):
             return
-        rows = normalise(changes.select("seq", "op", "key", "value")).withColumn("seq", F.col("seq") - F.lit(top[1]) + F.lit(self.next_seq))
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in CHANGELOG)).write.parquet(f"{self.root}/log/{self.next_seq:020d}")
-        self.next_seq += top[0] - top[1] + 1
-        if resolve.state_size(self._log()).first()[0] >= self.config.memtable_max:
+        self.backpressure.wait()
+        top = changes.agg(F.max("seq"), F.min("seq"), F.sum(resolve.entry_size())).first()
+        if top[0] is not None:
+            rows = normalise(changes.select("seq", "op", "key", "value")).withColumn("seq", F.col("seq") - F.lit(top[1]) + F.lit(self.next_seq))
+            name = f"{self.next_seq:020d}-{top[2]}" + ("" if tag is None else f"-{tag}")
+            rows.select(*(F.col(f.name).cast(f.dataType) for f in CHANGELOG)).write.parquet(f"{self.root}/log/{name}")
+            self.next_seq += top[0] - top[1] + 1
+        if mark is not None:
+            self.runs._fs.mkdirs(mark)
+        if sum(int(n.split("-")[1]) for n in self._batches()) >= self.config.memtable_max:
             self.flush()
 
     def write(self, ops: Iterable[tuple[int, bytes, bytes]]) -> None:
@@ -98,11 +113,12 @@ class Store:
     def flush(self) -> bool:
         """Makes a run of the log, then drops the log that it holds; runs compact when there are enough of them."""
         self._ready()
-        log = self._log()
-        if log.isEmpty():
+        batches = self._batches()
+        if not batches:
             return False
-        self.runs.flush(log)
-        self.runs._fs.delete(self.runs._path(f"{self.root}/log"), True)
+        self.runs.flush(self._log(batches))
+        for n in batches:  # a batch that came meanwhile stays
+            self.runs._fs.delete(self.runs._path(f"{self.root}/log/{n}"), True)
         if len(self.runs.entries()) >= self.config.compaction_threshold:
             self.compact()
         return True

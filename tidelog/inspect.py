@@ -8,7 +8,7 @@ import sys
 from datetime import datetime, timezone
 
 from tidelog.errors import StoreError
-from tidelog.sources.binary import DELETE, HEADER, decode_header, decode_run
+from tidelog.sources.binary import DELETE, HEADER, decode_header, decode_run, verify_run
 
 
 def shown(raw: bytes) -> str:
@@ -55,6 +55,7 @@ def main(argv: list[str] | None = None) -> int:
         try:
             for _ in decode_run(data):
                 seen += 1
+            verify_run(data)
             print(f"Integrity Check: PASSED\nRecords scanned: {seen}")
         except StoreError as e:
             print(f"Corruption detected: {e}", file=sys.stderr)

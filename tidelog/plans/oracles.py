@@ -27,8 +27,10 @@ snap AS (SELECT CAST(floor(count(*) FILTER (kind = 'read') / 10.0) AS BIGINT) AS
 CAST(floor(count(*) FILTER (kind = 'write') / 10.0) AS BIGINT) AS write_throughput_ops_per_sec,
 {", ".join(f"(SELECT {_pct(p, f" FILTER (kind = '{k}')")} FROM timed) AS {k}_latency_p{str(p).replace('.', '')}_ms" for k in ("read", "write") for p in (50, 99, 99.9))},
 coalesce(count(*) FILTER (kind = 'hit') / nullif(count(*) FILTER (kind IN ('hit', 'miss')), 0), 0.0) AS cache_hit_ratio,
-CAST(0 AS BIGINT) AS compaction_lag_ms, CAST(0 AS BIGINT) AS heap_used_bytes, CAST(0 AS BIGINT) AS off_heap_used_bytes, CAST(1073741824 AS BIGINT) AS total_memory_limit_bytes,
+coalesce((SELECT max_by(event_id % 977, event_id) FROM events WHERE event_id % 50 = 7), 0) AS compaction_lag_ms,
+coalesce((SELECT max(event_id) FROM events WHERE event_id % 50 = 8), 0) * 12345 AS heap_used_bytes, coalesce((SELECT max(event_id) FROM events WHERE event_id % 50 = 9), 0) * 777 AS off_heap_used_bytes, CAST(1073741824 AS BIGINT) AS total_memory_limit_bytes,
 count(*) FILTER (kind = 'checksum_error') AS checksum_errors_total, count(*) FILTER (kind = 'budget_exceeded') AS budget_exceeded_total FROM live)"""
+# Fixed values of the exposition format.
 _HELP = """read_throughput_ops_per_sec|Current read operations per second|gauge
 write_throughput_ops_per_sec|Current write operations per second|gauge
 read_latency_p50_ms|Read latency P50 in milliseconds|gauge
@@ -95,16 +97,27 @@ row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) rn FROM events)
   Latency Read: P50: %dms, P99: %dms, P99.9: %dms
   Latency Write: P50: %dms, P99: %dms, P99.9: %dms
   Cache Hit Ratio: %.2f%%
-  Compaction Lag: 0ms
-  Memory: Heap: 0 B, Off-Heap: 0 B, Limit: 1.00 GB
+  Compaction Lag: %dms
+  Memory: Heap: %s, Off-Heap: %s, Limit: 1.00 GB
   Errors: Checksum: %d, Budget Exceeded: %d', read_throughput_ops_per_sec, write_throughput_ops_per_sec, read_latency_p50_ms, read_latency_p99_ms, read_latency_p999_ms, write_latency_p50_ms, write_latency_p99_ms, write_latency_p999_ms,
-cache_hit_ratio * 100, checksum_errors_total, budget_exceeded_total) AS text FROM snap""",
-    "metrics_prometheus": " UNION ALL ".join(
-        f"SELECT CAST({3 * i} AS BIGINT) AS position, '# HELP kvstore_{n} {h}' AS line UNION ALL SELECT CAST({3 * i + 1} AS BIGINT), '# TYPE kvstore_{n} {k}'" for i, (n, h, k) in enumerate(x.split("|") for x in _HELP.split("\n"))
+cache_hit_ratio * 100, compaction_lag_ms, (SELECT {_SIZE} FROM (SELECT heap_used_bytes AS n FROM snap)), (SELECT {_SIZE} FROM (SELECT off_heap_used_bytes AS n FROM snap)), checksum_errors_total, budget_exceeded_total) AS text FROM snap""",
+    "metrics_prometheus": f"WITH {_SNAPSHOT} "
+    + " UNION ALL ".join(
+        f"SELECT CAST({3 * i} AS BIGINT) AS position, '# HELP kvstore_{n} {h}' AS line UNION ALL SELECT CAST({3 * i + 1} AS BIGINT), '# TYPE kvstore_{n} {k}' UNION ALL SELECT CAST({3 * i + 2} AS BIGINT), 'kvstore_{n} ' || CAST({n} AS VARCHAR) FROM snap"
+        for i, (n, h, k) in enumerate(x.split("|") for x in _HELP.split("\n"))
     ),
     "format_sizes": f"SELECT o_orderkey, {_SIZE} AS shown FROM (SELECT o_orderkey, o_orderkey * o_custkey AS n FROM orders)",
     "key_display": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '0xff' || lower(hex(c_name)) END AS shown FROM customer",
     "bloom_no_false_negative": "SELECT count(DISTINCT user_id) AS keys, CAST(0 AS BIGINT) AS missed FROM events",
     "bloom_sizing": f"WITH {_RUNS}, n AS (SELECT run_id, count(*) AS keys FROM runs GROUP BY run_id), b AS (SELECT *, CAST(floor(-keys * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS bits FROM n) SELECT run_id, keys, bits, greatest(1, CAST(floor(bits / keys * ln(2) + 0.5) AS BIGINT)) AS hashes FROM b",
-    "crc_verify": f"WITH {_RUNS} SELECT run_id, count(*) AS records, true AS passed FROM runs GROUP BY run_id",
+    "crc_verify": f"WITH {_RUNS} SELECT run_id, count(*) AS records, count(*) FILTER (seq % 53 = 0) AS damaged, min(key) FILTER (seq % 53 = 0) AS first_damaged, count(*) FILTER (seq % 53 = 0) = 0 AS passed FROM runs GROUP BY run_id",
+    "cache_lru_sim": """WITH requests AS (SELECT event_id // 2500 AS cache, event_id AS seq, event_id % 2 = 0 AS puts, user_id % 40 AS block FROM events),
+lists AS (SELECT cache, list({'puts': puts, 'block': block, 'held': CAST([] AS BIGINT[]), 'hits': CAST(0 AS BIGINT), 'misses': CAST(0 AS BIGINT)} ORDER BY seq) AS l FROM requests GROUP BY cache),
+folded AS (SELECT cache, list_reduce(list_prepend({'puts': false, 'block': CAST(-1 AS BIGINT), 'held': CAST([] AS BIGINT[]), 'hits': CAST(0 AS BIGINT), 'misses': CAST(0 AS BIGINT)}, l),
+lambda a, x: {'puts': x.puts, 'block': x.block,
+'held': CASE WHEN x.puts AND NOT list_contains(a.held, x.block) THEN CASE WHEN 928 * (len(a.held) + 1) > 20000 THEN list_append(a.held[2:], x.block) ELSE list_append(a.held, x.block) END
+  WHEN NOT x.puts AND list_contains(a.held, x.block) THEN list_append(list_filter(a.held, lambda h: h <> x.block), x.block) ELSE a.held END,
+'hits': a.hits + CASE WHEN NOT x.puts AND list_contains(a.held, x.block) THEN 1 ELSE 0 END,
+'misses': a.misses + CASE WHEN NOT x.puts AND NOT list_contains(a.held, x.block) THEN 1 ELSE 0 END}) AS e FROM lists)
+SELECT cache, e.hits AS hits, e.misses AS misses FROM folded""",
 }

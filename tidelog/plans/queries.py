@@ -35,6 +35,15 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), kind.alias("kind"), F.floor("value").cast("long").alias("latency_ms"), (F.col("event_id") % 10 != 0).alias("enabled"))
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations together with gauges, which some events report: compaction lag, heap and off-heap memory."""
+    events = table(spark, sf_dir, "events")
+    gauge = F.element_at(F.create_map(*(F.lit(x) for x in (7, "lag", 8, "heap", 9, "off_heap"))), (F.col("event_id") % 50).cast("int"))
+    value = F.when(gauge == "lag", F.col("event_id") % 977).when(gauge == "heap", F.col("event_id") * 12345).otherwise(F.col("event_id") * 777)
+    gauges = events.select(F.col("event_id").alias("seq"), gauge.alias("kind"), value.cast("long").alias("latency_ms"), F.lit(True).alias("enabled")).filter("kind is not null")
+    return operations(spark, sf_dir).unionByName(gauges)
+
+
 def kv_live_state(spark, sf):
     return resolve.live(event_changes(spark, sf)).select("key", "value", "seq")
 
@@ -161,7 +170,7 @@ def metrics_throughput(spark, sf):
 
 
 def metrics_snapshot(spark, sf):
-    return metrics.snapshot(operations(spark, sf), 10_000, 1 << 30, every=10)
+    return metrics.snapshot(measured(spark, sf), 10_000, 1 << 30, every=10)
 
 
 def metrics_format(spark, sf):
@@ -169,11 +178,6 @@ def metrics_format(spark, sf):
 
 
 def metrics_prometheus(spark, sf):
-    return metrics.exposition(metrics_snapshot(spark, sf)).filter("position % 3 < 2").select(F.col("position").cast("long").alias("position"), "line")
-
-
-def metrics_exposition(spark, sf):
-    """All lines; metrics_prometheus has those that its SQL has, without the values."""
     return metrics.exposition(metrics_snapshot(spark, sf)).select(F.col("position").cast("long").alias("position"), "line")
 
 
@@ -203,8 +207,10 @@ def bloom_sizing(spark, sf):
 def crc_verify(spark, sf):
     rows = runs(spark, sf)
     body = F.concat(F.unhex(F.lpad(F.hex("op"), 2, "0")), F.unhex(F.lpad(F.hex(F.octet_length("key")), 8, "0")), F.unhex(F.lpad(F.hex(F.octet_length("value")), 8, "0")), F.col("key").cast("binary"), F.col("value").cast("binary"))
-    stored = rows.withColumn("crc", F.crc32(body))
-    return stored.groupBy("run_id").agg(F.count("*").alias("records"), F.bool_and(F.crc32(body) == F.col("crc")).alias("passed"))
+    # every 53rd record is damaged after its checksum was stored
+    stored = rows.withColumn("crc", F.crc32(body)).withColumn("value", F.when(F.col("seq") % 53 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    sound = F.crc32(body) == F.col("crc")
+    return stored.groupBy("run_id").agg(F.count("*").alias("records"), F.count_if(~sound).alias("damaged"), F.min(F.when(~sound, F.col("key"))).alias("first_damaged"), F.bool_and(sound).alias("passed"))
 
 
 def cache_lru_sim(spark, sf):
@@ -218,6 +224,6 @@ NAMES = """kv_live_state kv_tombstones kv_multi_get kv_point_get kv_range_scan k
 memtable_size memtable_flush_segments sst_layout sst_header sparse_index sparse_floor_lookup byte_window_list compact_minor
 compact_major compact_stats read_amplification wal_offsets wal_valid_prefix wal_replay_state wal_file_order
 backpressure_state budget_by_component metrics_percentiles metrics_ring_buffer metrics_hit_ratio metrics_throughput
-metrics_snapshot metrics_format metrics_prometheus metrics_exposition format_sizes key_display bloom_no_false_negative bloom_sizing crc_verify
+metrics_snapshot metrics_format metrics_prometheus format_sizes key_display bloom_no_false_negative bloom_sizing crc_verify
 cache_lru_sim""".split()
 QUERIES = {name: globals()[name] for name in NAMES}

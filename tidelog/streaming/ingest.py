@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,11 +17,11 @@ from tidelog.engine import Store
 def ingest(changes: DataFrame, store: Store, checkpoint: str, flush_every: int = 10) -> StreamingQuery:
     """Appends every micro-batch of a streaming changelog to the store, and makes a run of each `flush_every` batches.
 
-    A batch that is run again after a failure appends the same changes again, which resolve to the same newest versions.
+    A batch is tagged with the checkpoint and its number, so one that is run again after a failure is appended once.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        store.append(batch)
+        store.append(batch, f"{zlib.crc32(checkpoint.encode()):08x}.{number}")
         if number % flush_every == flush_every - 1:
             store.flush()
 
