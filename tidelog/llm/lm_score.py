@@ -32,7 +32,7 @@ from tidelog.llm import common
 
 SMOOTHING = 16.0
 #: Tokens of a block, about.
-BLOCK = 2_000_000
+BLOCK = 600_000
 _U = common.U64
 _CODEC = pa.Codec("zstd", compression_level=6)
 #: What stands before the first token of a document.
