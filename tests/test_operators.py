@@ -3,11 +3,13 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.config import StoreConfig
 from tidelog.errors import StoreError
-from tidelog.functions.hashing import murmur128
+from tidelog.functions.hashing import murmur128, murmur128_many
 from tidelog.functions.text import display, format_bytes
 from tidelog.model import CHANGELOG, normalise
 from tidelog.operators import compaction, layout, log, membership, metrics, resolve, simulate
@@ -107,6 +109,50 @@ def test_murmur_known_values():
     assert murmur128(b"The quick brown fox jumps over the lazy dog") == (0xE34BBC7BBC071B6C, 0x7A433CA9C49A9347)
 
 
+def murmur_by_definition(data):
+    """The published algorithm with whole numbers, a byte string at a time."""
+    m, c1, c2 = (1 << 64) - 1, 0x87C37B91114253D5, 0x4CF5AD432745937F
+    turn = lambda x, n: (x << n | x >> 64 - n) & m
+    k1 = lambda x: turn(x * c1 & m, 31) * c2 & m
+    k2 = lambda x: turn(x * c2 & m, 33) * c1 & m
+    part = lambda i: int.from_bytes(data[i : i + 8], "little")
+    a = b = 0
+    end = len(data) - len(data) % 16
+    for i in range(0, end, 16):
+        a = ((turn(a ^ k1(part(i)), 27) + b) * 5 + 0x52DCE729) & m
+        b = ((turn(b ^ k2(part(i + 8)), 31) + a) * 5 + 0x38495AB5) & m
+    a, b = a ^ k1(part(end)) ^ len(data), b ^ k2(part(end + 8)) ^ len(data)
+    a = a + b & m
+    b = a + b & m
+    mix = lambda x: ((y := ((x ^ x >> 33) * 0xFF51AFD7ED558CCD & m)) ^ y >> 33) * 0xC4CEB9FE1A85EC53 & m
+    a, b = mix(a), mix(b)
+    a, b = a ^ a >> 33, b ^ b >> 33
+    a = a + b & m
+    return a, a + b & m
+
+
+@given(st.lists(st.binary(max_size=70), max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_murmur_of_many_keys(keys):
+    a, b = murmur128_many(keys)
+    assert list(zip(a.tolist(), b.tolist())) == [murmur_by_definition(k) for k in keys]
+    for bits, hashes in ((977, 7), (1 << 40, 3)):
+        want = [[((x + i * y) & (1 << 63) - 1) % bits for i in range(hashes)] for x, y in map(murmur_by_definition, keys)]
+        assert membership.positions(keys, bits, hashes).tolist() == want
+
+
+def test_bloom_pieces_hold_the_filter(spark):
+    bits, hashes = membership.sizing(3000, 0.01)
+    keys = spark.range(3000).selectExpr("concat('key-', id) as key")
+    bloom = membership.build(keys.unionByName(keys).unionByName(spark.sql("select cast(null as string) key")), bits, hashes)
+    words = sorted(map(tuple, bloom.collect()))
+    want = {int(p) for k in range(3000) for p in membership.positions([b"key-%d" % k], bits, hashes)[0]}
+    assert {64 * w + i for w, m in words for i in range(64) if m >> i & 1} == want
+    pieces = membership.segments(bloom, bits, 512)
+    assert {len(r.bitmap) for r in pieces.collect()} == {512}
+    assert sorted(map(tuple, membership.wrap(pieces, 512).collect())) == words
+
+
 def test_bloom(spark):
     bits, hashes = membership.sizing(2000, 0.01)
     keys = spark.range(2000).selectExpr("concat('key-', id) as key")
@@ -124,6 +170,10 @@ def test_lru_evicts_one_block():
     assert lru.get(0) and lru.get(800)
     lru.put(1600, 800)
     assert not lru.get(0) and lru.get(800) and lru.get(1600)
+    lru.evict(800), lru.evict(7)
+    assert not lru.get(800) and lru.size == 928
+    lru.clear()
+    assert lru.size == 0 and not lru.get(1600)
 
 
 def test_budget():

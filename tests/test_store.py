@@ -1,6 +1,8 @@
 """The store over files: restarts, deletes, compaction, streams, binary formats."""
 
 import io
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from tidelog.config import StoreConfig
 from tidelog.engine import Store
 from tidelog.errors import StoreError
 from tidelog.model import CHANGELOG, DELETE, PUT
+from tidelog.operators import membership
 from tidelog.operators.runs import RunStore
+from tidelog.scheduler import Compactor
 from tidelog.sources.binary import PushedSstSource, RunFile, SstSource, WalSource, decode_index, decode_log, decode_run, encode_log_record, encode_run, verify_run
 from tidelog.streaming.ingest import ingest, latest_by_key
 
@@ -166,6 +170,17 @@ def test_point_reads_touch_one_block(spark, tmp_path):
     assert run.get(b"key-130") == ("FOUND", b"v130") and len(read) == 1 and read[0] < len(data) / 2
     assert run.get(b"key-200") == ("DELETED", None) and run.get(b"key-1305") == run.get(b"a") == run.get(b"z") == ("NOT_FOUND", None)
     assert [k for _, _, k, _ in run.scan(b"key-127", b"key-129")] == [b"key-127", b"key-128", b"key-129"]
+    bits, hashes = membership.sizing(300, 0.01)
+    held = {int(p) for p in membership.positions([k for k, _ in rows], bits, hashes).ravel()}
+    run = RunFile(Watched(data), lambda k: held.issuperset(membership.positions([k], bits, hashes)[0].tolist()), 2)
+    read.clear()
+    assert all(run.get(k) == (("FOUND", v) if v else ("DELETED", None)) for k, v in rows) and len(read) == 3  # one read a block
+    assert sum(run.get(b"key-%03dx" % i)[0] != "NOT_FOUND" for i in range(300)) == 0
+    read.clear()
+    assert run.get(b"key-299") == ("FOUND", b"v299") and run.get(b"key-130") == ("FOUND", b"v130") and len(run.blocks) == 2
+    denied = RunFile(Watched(data), lambda k: False)
+    read.clear()
+    assert denied.get(b"key-130") == ("NOT_FOUND", None) and not read
     (tmp_path / "1.sst").write_bytes(data)
     spark.dataSource.register(PushedSstSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -190,3 +205,59 @@ def test_a_tagged_batch_counts_once(spark, tmp_path):
         assert len(s.runs.entries()) == 1 and s._batches() == []
         s.append(batch, "b.0")
         assert s.get(b"k") == b"new"
+
+
+def test_recovery_flushes_a_long_log(spark, tmp_path):
+    with Store(spark, str(tmp_path)) as s:
+        s.write([(PUT, b"k%d" % i, b"x" * 100) for i in range(3)])
+        assert s.log_bytes() == 3 * (64 + 2 + 100) and not s.runs.entries()
+    with Store(spark, str(tmp_path), StoreConfig(memtable_max=300)) as s:
+        assert s.log_bytes() == 0 and len(s.runs.entries()) == 1 and s.get(b"k2") == b"x" * 100
+
+
+def test_a_run_flushed_during_a_merge_stays(spark, tmp_path):
+    with Store(spark, str(tmp_path), StoreConfig(compaction_threshold=99)) as s:
+        for ops in ([(PUT, b"a", b"1"), (PUT, b"b", b"1")], [(DELETE, b"a", b"")]):
+            s.write(ops)
+            s.flush()
+        write = s.runs.write
+
+        def late(rows, files=None):
+            entry = write(rows, files)
+            s.runs.write = write
+            s.put(b"b", b"2")
+            s.flush()
+            return entry
+
+        s.runs.write = late
+        old = [e[0] for e in s.runs.entries()]
+        assert s.compact() and len(s.runs.entries()) == 2
+        assert s.get(b"a") is None and s.get(b"b") == b"2"
+        with pytest.raises(StoreError, match="replaced the same runs"):
+            s.runs.publish([(old[0],)], [])
+
+
+def test_background_compaction(spark, tmp_path):
+    seen, errors, ended = [], [], threading.Event()
+    with Store(spark, str(tmp_path), StoreConfig(compaction_threshold=3, backpressure_lag_ms=60_000)) as s:
+        with Compactor(s, 0.05, 0.05, lambda n: (seen.append(n), ended.set()), errors.append) as c:
+            for i in range(2):
+                s.put(b"k%d" % i, b"v")
+                s.flush()
+            time.sleep(0.3)
+            assert not seen and s.backpressure.lag_ms == 0
+            s.put(b"k0", b"new")
+            s.flush()
+            assert ended.wait(60)
+        assert not errors and seen[0] == 3 and len(s.runs.entries()) == 1 and not c._thread.is_alive()
+        assert s.get(b"k0") == b"new" and s.backpressure.lag_ms == 0
+        with pytest.raises(StoreError, match="INVALID_CONFIGURATION"):
+            c.start()
+        failing = Compactor(s, failed=errors.append)
+        s.compact = lambda since=None: 1 / 0
+        s.runs.entries = lambda: [()] * 3
+        assert not failing.check() and isinstance(errors[0], ZeroDivisionError)
+        time.sleep(0.01)
+        assert not failing.check() and s.backpressure.lag_ms >= 10  # still due since the first look
+        failing._single.acquire()
+        assert not failing.check() and len(errors) == 2

@@ -32,8 +32,10 @@ class Store:
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or StoreConfig()
         self.state, self.next_seq = State.INITIALIZING, 0
         self.backpressure = Backpressure(self.config.backpressure_lag_ms)
+        self.background = False
 
     def start(self) -> "Store":
+        """Reads the manifest and the log; a log that is due for a flush becomes a run before the store runs."""
         self.state = State.RECOVERING
         try:
             self.runs = RunStore(self.spark, self.root)
@@ -42,8 +44,12 @@ class Store:
             self.next_seq = 1 + max([*tops, -1 if logged is None else logged])
         except Exception as e:
             self.state = State.FAILED
+            if isinstance(e, StoreError) and e.name in ("BUDGET_EXCEEDED", "IO_ERROR"):
+                raise
             raise StoreError("RECOVERY_FAILED", str(e)) from e
         self.state = State.RUNNING
+        if self.log_bytes() >= self.config.memtable_max:
+            self.flush()
         return self
 
     def close(self) -> None:
@@ -65,6 +71,10 @@ class Store:
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
         return sorted(n for n in names if fs.exists(self.runs._path(f"{self.root}/log/{n}/_SUCCESS")))
 
+    def log_bytes(self) -> int:
+        """Bytes of entries in the log, from the names of its batches."""
+        return sum(int(n.split("-")[1]) for n in self._batches())
+
     def _log(self, batches: list[str] | None = None) -> DataFrame:
         batches = self._batches() if batches is None else batches
         if not batches:
@@ -92,7 +102,7 @@ class Store:
             self.next_seq += top[0] - top[1] + 1
         if mark is not None:
             self.runs._fs.mkdirs(mark)
-        if sum(int(n.split("-")[1]) for n in self._batches()) >= self.config.memtable_max:
+        if self.log_bytes() >= self.config.memtable_max:
             self.flush()
 
     def write(self, ops: Iterable[tuple[int, bytes, bytes]]) -> None:
@@ -111,7 +121,10 @@ class Store:
         self.write([(DELETE, key, b"")])
 
     def flush(self) -> bool:
-        """Makes a run of the log, then drops the log that it holds; runs compact when there are enough of them."""
+        """Makes a run of the log, then drops the log that it holds.
+
+        Runs compact when there are enough of them, here unless a Compactor does so in the background.
+        """
         self._ready()
         batches = self._batches()
         if not batches:
@@ -119,14 +132,14 @@ class Store:
         self.runs.flush(self._log(batches))
         for n in batches:  # a batch that came meanwhile stays
             self.runs._fs.delete(self.runs._path(f"{self.root}/log/{n}"), True)
-        if len(self.runs.entries()) >= self.config.compaction_threshold:
+        if not self.background and len(self.runs.entries()) >= self.config.compaction_threshold:
             self.compact()
         return True
 
-    def compact(self) -> bool:
-        """Merges all runs; other threads' writes wait once that takes longer than the lag allowed."""
+    def compact(self, since: float | None = None) -> bool:
+        """Merges all runs; other threads' writes wait once it is longer than the lag allowed since it began or fell due."""
         self._ready()
-        began = time.monotonic()
+        began = time.monotonic() if since is None else since
         done = threading.Event()
 
         def lag() -> None:

@@ -26,8 +26,3 @@ def stats(runs: DataFrame) -> DataFrame:
     is_delete = F.col("top.op") == DELETE
     total = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("input_rows"), F.count_if(~is_delete).alias("output_rows"), F.count("*").alias("keys"), F.count_if(is_delete).alias("dropped_tombstones"))
     return total.select("input_rows", "output_rows", (F.col("input_rows") - F.col("keys")).alias("shadowed_rows"), "dropped_tombstones")
-
-
-def due(manifest: DataFrame, threshold: int) -> bool:
-    """Whether as many runs lie there as start a compaction."""
-    return manifest.count() >= threshold

@@ -71,13 +71,28 @@ class RunStore:
             return None
         return (path, *seen)
 
+    def publish(self, replaced: list[tuple], made: list[tuple], tries: int = 10) -> int:
+        """Publishes a version in which runs made stand for those replaced, on top of what other writers published meanwhile.
+
+        Fails if a replaced run is no longer there, since another merge then holds it already.
+        """
+        gone = {e[0] for e in replaced}
+        for left in reversed(range(tries)):
+            at, entries = self.version(), self.entries()
+            if not gone <= {e[0] for e in entries}:
+                raise StoreError("IO_ERROR", "another writer has replaced the same runs")
+            try:
+                return self.commit([*(e for e in entries if e[0] not in gone), *made], at)
+            except StoreError:
+                if not left:
+                    raise
+
     def flush(self, changes: DataFrame) -> bool:
         """The newest versions of a changelog segment become a run, tombstones included."""
-        at = self.version()
         entry = self.write(latest(changes))
         if entry is None:
             return False
-        self.commit([*self.entries(), entry], at)
+        self.publish([], [entry])
         return True
 
     def rows(self, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
@@ -88,8 +103,11 @@ class RunStore:
         return self.spark.read.schema(CHANGELOG).parquet(*(e[0] for e in kept))
 
     def compact(self, paths: list[str] | None = None) -> bool:
-        """Merges the runs (all, or those named) into one; tombstones go only if no other run remains."""
-        at, entries = self.version(), self.entries()
+        """Merges the runs (all, or those named) into one; tombstones go only if no other run remains.
+
+        A run that is flushed meanwhile stays beside the merged one; it is newer than what a dropped tombstone hid.
+        """
+        entries = self.entries()
         chosen = [e for e in entries if paths is None or e[0] in paths]
         if not chosen:
             return False
@@ -97,7 +115,7 @@ class RunStore:
         if len(chosen) == len(entries):
             merged = merged.filter("op <> 2")
         entry = self.write(merged)
-        self.commit([*(e for e in entries if e not in chosen), *([entry] if entry else [])], at)
+        self.publish(chosen, [entry] if entry else [])
         return True
 
     def vacuum(self) -> int:

@@ -63,6 +63,14 @@ class LruCache:
             return True
         return False
 
+    def evict(self, key) -> None:
+        """Drops one block, if it is there."""
+        self.size -= self.blocks.pop(key, 0)
+
+    def clear(self) -> None:
+        self.blocks.clear()
+        self.size = 0
+
 
 def cache_simulation(requests: DataFrame, max_bytes: int, shard: str = "cache") -> DataFrame:
     """(shard, seq, hit): replays a request log (shard, seq, action, block, length); hit is null for a put."""

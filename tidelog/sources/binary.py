@@ -23,7 +23,8 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -111,10 +112,15 @@ def decode_records(data: bytes, first: int = 0) -> Iterator[tuple[int, int, byte
 
 
 class RunFile:
-    """A run file read by position: its header and sparse index once, then only the blocks that are asked for."""
+    """A run file read by position: its header and sparse index once, then only the blocks that are asked for.
 
-    def __init__(self, file):
-        self.file, self.size = file, file.size()
+    `might_contain(key)`, if given, spares the file for keys that it denies; it must never deny one that is there.  A cache
+    keeps the bytes of up to `cached` blocks, the least recently used one goes first.
+    """
+
+    def __init__(self, file, might_contain: Callable[[bytes], bool] | None = None, cached: int = 0):
+        self.file, self.size, self.might_contain = file, file.size(), might_contain
+        self.cached, self.blocks = cached, OrderedDict()
         self.head = decode_header(self._at(0, HEADER.size))
         tail = self._at(self.head["index_offset"], self.size - self.head["index_offset"])
         (n,) = struct.unpack_from(">q", tail, len(tail) - 8)
@@ -128,12 +134,22 @@ class RunFile:
         self.file.seek(start)
         return self.file.read(length)
 
+    def _block(self, start: int, end: int) -> bytes:
+        if not self.cached:
+            return self._at(start, end - start)
+        if start not in self.blocks:
+            self.blocks[start] = self._at(start, end - start)
+            if len(self.blocks) > self.cached:
+                self.blocks.popitem(last=False)
+        self.blocks.move_to_end(start)
+        return self.blocks[start]
+
     def scan(self, low: bytes | None = None, high: bytes | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
         """Records with low <= key <= high, block by block from the floor of low; stops at the first key beyond high."""
         first = 0 if low is None else max(0, bisect_right(self.keys, low) - 1)
         ends = [*self.offsets[1:], self.head["index_offset"]]
         for start, end in zip(self.offsets[first:], ends[first:]):
-            for record in decode_records(self._at(start, end - start), start):
+            for record in decode_records(self._block(start, end), start):
                 if high is not None and record[2] > high:
                     return
                 if low is None or record[2] >= low:
@@ -141,6 +157,8 @@ class RunFile:
 
     def get(self, key: bytes) -> tuple[str, bytes | None]:
         """FOUND with the value, DELETED or NOT_FOUND; reads one block at most."""
+        if self.might_contain is not None and not self.might_contain(key):
+            return "NOT_FOUND", None
         for _, op, _, value in self.scan(key, key):
             return ("DELETED", None) if op == DELETE else ("FOUND", value)
         return "NOT_FOUND", None
