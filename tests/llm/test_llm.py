@@ -254,6 +254,28 @@ def test_shards(spark, n, copies):
         assert cut(shard) <= 0.2 * cut(home)
 
 
+def test_shards_where_every_document_has_a_copy(spark):
+    texts = [f"text {i // 2}" for i in range(4000)]
+    rows = sharding.assign(docs_of(spark, texts), shards=10).collect()
+    shard, home = {x.doc_id: x.shard for x in rows}, {x.doc_id: x.home for x in rows}
+    cut = lambda at: sum(at[i] != at[i + 1] for i in range(0, 4000, 2))
+    assert collections.Counter(shard.values()) == {s: 400 for s in range(10)}
+    assert cut(home) > 1700 and cut(shard) < 120
+
+
+def test_shares_that_pass_fill_no_shard_above_its_capacity():
+    assert sharding.passing({0: 10, 1: 10}, {(0, 1): 4, (1, 0): 4}, 10, 2) == [1.0, 1.0]  # what leaves makes room
+    r = random.Random(4)
+    for _ in range(50):
+        load = {j: r.randrange(80, 121) for j in range(5)}
+        wants = {(a, b): r.randrange(15) for a in range(5) for b in range(5) if a != b}
+        share = sharding.passing(load, wants, 100, 5)
+        for j in range(5):
+            come = sum(n * share[b] for (a, b), n in wants.items() if b == j)
+            gone = sum(n * share[b] for (a, b), n in wants.items() if a == j)
+            assert come == 0 or load[j] + come - gone <= 100 + 0.1
+
+
 # --- 5
 
 

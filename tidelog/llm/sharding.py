@@ -2,8 +2,9 @@
 
 Documents with equal texts are linked.  Every document starts in the shard its id hashes to; in each round a linked
 document wants to move to the shard that holds most of its group, or, for a group larger than a shard, to one of as many
-such shards as the group fills.  A shard takes no more than it has room for: movers pass by a hash under the ratio of room
-to demand, which needs no order among them.  At the end whole shards are made even: what exceeds a shard's quota, unlinked
+such shards as the group fills.  A shard takes no more than it has room for, counting what leaves it in the same round: movers
+pass by a hash under the ratio of room to demand, which needs no order among them.  Rounds end when no fewer rows than in the
+round before want to move, or after `rounds`.  At the end whole shards are made even: what exceeds a shard's quota, unlinked
 documents first, goes to shards that lack rows.  So the counts are at most one apart, and a group is cut only where it
 must be.
 
@@ -54,11 +55,33 @@ def start(docs: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def propagate(linked: DataFrame, large: DataFrame, total: int, shards: int, round_no: int) -> tuple[DataFrame, int]:
-    """One round of moves among (…, group, salt, shard) rows that have a partner; also gives the number of rows that move."""
+def passing(load: dict[int, int], wants: dict[tuple[int, int], int], capacity: int, shards: int) -> list[float]:
+    """For each shard the share of those who want to come that may, such that none ends above its capacity.
+
+    Begins with all and takes back what a shard has no room for, until what leaves makes room for what comes.
+    """
+    share = [1.0] * shards
+    for _ in range(200):
+        leaves, comes = [0.0] * shards, [0] * shards
+        for (a, b), n in wants.items():
+            leaves[a] += n * share[b]
+            comes[b] += n
+        new = [min(share[j], max(0.0, capacity - load.get(j, 0) + leaves[j]) / comes[j]) if comes[j] else 1.0 for j in range(shards)]
+        if max(a - b for a, b in zip(share, new)) < 1e-4:
+            return new
+        share = new
+    return share
+
+
+def propagate(linked: DataFrame, large: DataFrame, total: int, shards: int, round_no: int) -> tuple[DataFrame, DataFrame, int]:
+    """One round of moves among (…, group, salt, shard) rows that have a partner.
+
+    Gives the rows after it, the table they are read from, and the number of rows that wanted to move.  Equal counts of a
+    group rank anew in each round, so a group that found its shard full tries another.
+    """
     capacity = -(-total // shards)
     per_shard = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("group").orderBy(F.desc("n"), F.xxhash64("group", "shard"))  # at most `shards` rows a group
+    order = Window.partitionBy("group").orderBy(F.desc("n"), F.xxhash64("group", "shard", F.lit(round_no)))  # at most `shards` rows a group
     ranked = per_shard.withColumn("k", F.row_number().over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("group")))
     wanted = (
         ranked.filter(F.col("k") <= F.ceil(F.col("all") / (0.9 * capacity)))
@@ -72,20 +95,19 @@ def propagate(linked: DataFrame, large: DataFrame, total: int, shards: int, roun
     )
     wishes = common.materialise(wishes.drop("own", "own_salt"), "wishes")
     load = {r.shard: r.n for r in wishes.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
-    demand = {r.to: r.n for r in wishes.filter("to <> shard").groupBy("to").agg(F.count("*").alias("n")).collect()}
-    passing = [min(1.0, max(0, capacity - load.get(j, 0)) / demand[j]) if demand.get(j) else 1.0 for j in range(shards)]
-    quota = F.element_at(F.array(*map(F.lit, passing)), F.col("to") + 1)
+    wants = {(r.shard, r.to): r.n for r in wishes.filter("to <> shard").groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}  # shards² rows at most
+    quota = F.element_at(F.array(*map(F.lit, passing(load, wants, capacity, shards))), F.col("to") + 1)
     # a group that fits one shard moves whole, a larger one row by row
     draw = F.when(F.size("targets") == 1, _chance("group", F.lit(round_no))).otherwise(_chance("doc_id", F.lit(round_no + 1000)))
     moved = wishes.withColumn("shard", F.when(draw < quota, F.col("to")).otherwise(F.col("shard"))).drop("to", "targets")
-    return moved, sum(demand.values())
+    return moved, wishes, sum(wants.values())
 
 
-def assign(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, rounds: int = 12) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, linked, home): every document's shard and gapless place in it; home is where it began."""
-    rows = common.materialise(start(docs, shards).withColumn("home", F.col("shard")), "shard-rows")
+    rows = rows_table = common.materialise(start(docs, shards).withColumn("home", F.col("shard")), "shard-rows")
     total = rows.count()
-    shared = common.materialise(rows.groupBy("group").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("group").alias("own"), "copies"), "shard-groups")
+    shared = shared_table = common.materialise(rows.groupBy("group").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("group").alias("own"), "copies"), "shard-groups")
     large = common.materialise(shared.filter(F.col("copies") >= max(1000, -(-total // 1000))).select("own"), "shard-large")
     shared = shared.select("own")
     rows = rows.join(F.broadcast(large.withColumnRenamed("own", "big")), F.col("group") == F.col("big"), "left")  # a thousand rows at most
@@ -94,11 +116,17 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataFrame:
     flagged = flagged.withColumn("linked", F.col("own").isNotNull()).drop("own", "own_salt")
     flagged = common.materialise(flagged, "shard-flagged")
     linked = flagged.filter("linked")
+    before, tables = total + 1, []
     for k in range(rounds):
-        linked, moving = propagate(linked, large, total, shards, k)
-        if not moving:
+        linked, table, moving = propagate(linked, large, total, shards, k)
+        tables.append(table)
+        if k:
+            common.drop(tables[k - 1])
+        if not moving or moving >= before:
             break
+        before = moving
     placed = common.materialise(flagged.filter("not linked").unionByName(linked).drop("group", "salt"), "shard-placed")
+    common.drop(rows_table, shared_table, large, flagged, *tables[-1:])
     return balance(placed, total, shards)
 
 
