@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from tidelog.llm import common
 
 #: Distinct strings in each generation of a worker's memory.
-REMEMBERED = 130_000
+REMEMBERED = 300_000
 #: Characters of the longest string whose ids are remembered.
 LONG = 64
 #: White space as Unicode defines it; Python's own class also has four control characters.
@@ -53,9 +53,10 @@ class BytePairCodec:
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
         self._spines()
         self._automaton()
-        self.allowed: dict[tuple[int, int], bool] = {}
-        self.seen = _Memory(lambda piece: self.encode_piece(piece.encode()), REMEMBERED // 2)
-        self.runs = _Memory(lambda run: tuple(chain.from_iterable(map(self.seen.__getitem__, self.find(run)))), REMEMBERED)
+        self.allowed: dict[int, bool] = {}
+        self.letters = r"| ?\p{L}+|" in pattern
+        self.seen = _Memory(lambda piece: self.encode_piece(piece.encode()), REMEMBERED // 4)
+        self.runs = _Memory(self.encode_run, REMEMBERED)
         self.uneven = regex.compile(f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$|\0").search
 
     @classmethod
@@ -128,12 +129,12 @@ class BytePairCodec:
                 if not dead[end]:
                     if not out:
                         break
-                    pair = (out[-1], token)
+                    pair = out[-1] << 32 | token
                     fits = allowed.get(pair)
                     if fits is None:
-                        if len(allowed) >= 3 * REMEMBERED:
+                        if len(allowed) >= REMEMBERED:
                             allowed.clear()
-                        fits = allowed[pair] = self.adjacent(*pair)
+                        fits = allowed[pair] = self.adjacent(out[-1], token)
                     if fits:
                         break
                 token = shorter[token]
@@ -150,6 +151,12 @@ class BytePairCodec:
                 token = out.pop()
                 at -= size[token]
 
+    def encode_run(self, run: str) -> tuple[int, ...]:
+        """The ids of what stands between two cuts; where the pattern has a piece of letters after a blank, letters alone are one."""
+        if self.letters and run.isascii() and run.removeprefix(" ").isalpha():
+            return self.encode_piece(run.encode())
+        return tuple(chain.from_iterable(map(self.seen.__getitem__, self.find(run))))
+
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text.
 
