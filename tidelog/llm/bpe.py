@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from tidelog.llm import common
 
-#: Distinct strings in each generation of a worker's memory.
-REMEMBERED = 300_000
+#: Distinct strings in each generation of a worker's memory; a pass with one worker a core can afford more.
+REMEMBERED, REMEMBERED_ALONE = 130_000, 300_000
 #: Characters of the longest string whose ids are remembered.
 LONG = 64
 #: White space as Unicode defines it; Python's own class also has four control characters.
@@ -35,15 +35,17 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _codecs: dict[tuple, "BytePairCodec"] = {}
 
 
-def codec(path: str, pattern: str) -> "BytePairCodec":
+def codec(path: str, pattern: str, remembered: int = REMEMBERED) -> "BytePairCodec":
     """The codec of this process; built once a worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = BytePairCodec.load(path, pattern)
-    return _codecs[path, pattern]
+    key = (path, pattern, remembered)
+    if key not in _codecs:
+        _codecs[key] = BytePairCodec.load(*key)
+    return _codecs[key]
 
 
 class BytePairCodec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
@@ -55,14 +57,14 @@ class BytePairCodec:
         self._automaton()
         self.allowed: dict[int, bool] = {}
         self.letters = r"| ?\p{L}+|" in pattern
-        self.seen = _Memory(lambda piece: self.encode_piece(piece.encode()), REMEMBERED // 4)
-        self.runs = _Memory(self.encode_run, REMEMBERED)
+        self.seen = _Memory(lambda piece: self.encode_piece(piece.encode()), remembered // 4)
+        self.runs = _Memory(self.encode_run, remembered)
         self.uneven = regex.compile(f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$|\0").search
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> "BytePairCodec":
+    def load(cls, path: str, pattern: str, remembered: int = REMEMBERED) -> "BytePairCodec":
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
+            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern, remembered)
 
     def _spines(self) -> None:
         """For each token the tokens along its right and left edge, each with the rank at which it is merged away."""
@@ -132,7 +134,7 @@ class BytePairCodec:
                     pair = out[-1] << 32 | token
                     fits = allowed.get(pair)
                     if fits is None:
-                        if len(allowed) >= REMEMBERED:
+                        if len(allowed) >= self.remembered:
                             allowed.clear()
                         fits = allowed[pair] = self.adjacent(out[-1], token)
                     if fits:
@@ -242,7 +244,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...]
     kinds = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)
 
     def run(batches):
-        own = codec(path, pattern)
+        own = codec(path, pattern, REMEMBERED_ALONE)
         for batch in batches:
             for b in common.pieces(batch):
                 n, ids_hash, text_hash = [], [], []
