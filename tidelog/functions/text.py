@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 POWERS = "KMGTPE"
 
 
-def format_bytes(n: Column) -> Column:
-    """`N B` under 1024, else two decimals in the largest unit that leaves one or more."""
+def format_bytes(n: Column, largest: str = POWERS[-1]) -> Column:
+    """`N B` under 1024, else two decimals, rounded half up, in the largest unit up to `largest` that leaves one or more; null of null."""
     out = F.format_string("%d B", n)
-    for i, letter in enumerate(POWERS, 1):
-        out = F.when(n >= 1024**i, F.format_string(f"%.2f {letter}B", n / float(1024**i))).otherwise(out)
-    return out
+    for i, letter in enumerate(POWERS[: POWERS.index(largest) + 1], 1):
+        out = F.when(n >= 1024**i, F.format_string(f"%.2f {letter}B", F.floor(n / float(1024**i) * 100 + 0.5) / 100)).otherwise(out)
+    return F.when(n.isNotNull(), out)
 
 
 def display(key: str) -> Column:
