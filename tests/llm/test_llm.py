@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -795,3 +796,19 @@ def test_ngram_join_equals_sql(spark, sf, duck):
 
     want = sorted(duck.execute(ORACLES["op6_ngram_join"]).fetchall())
     assert sorted(map(tuple, QUERIES["op6_ngram_join"](spark, sf).collect())) == want
+
+
+def test_a_worker_forgets_what_another_operator_remembered(spark, monkeypatch):
+    docs, made = docs_of(spark, ["one two", None]), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.append(run))
+    bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern())
+    toxicity.score(docs, toxicity.train([], []))
+    langid.predict(docs, langid.train([], []))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two", None])], names=["doc_id", "text"])
+    encode, *others = (lambda run=run: [r for b in run([batch]) for r in b.to_pylist()] for run in made)
+    for other in others:
+        first = encode()
+        held = dict(bpe._codecs)
+        assert held and encode() == first and all(bpe._codecs[k] is c for k, c in held.items())  # kept from task to task
+        assert len(other()) == 2 and not bpe._codecs
+        assert encode() == first

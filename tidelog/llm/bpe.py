@@ -32,11 +32,12 @@ REMEMBERED, REMEMBERED_ALONE = 130_000, 300_000
 LONG = 64
 #: White space as Unicode defines it; Python's own class also has four control characters.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_codecs: dict[tuple, "BytePairCodec"] = {}
+_codecs: dict[tuple, "BytePairCodec"] = common.cache()
 
 
 def codec(path: str, pattern: str, remembered: int = REMEMBERED) -> "BytePairCodec":
-    """The codec of this process; built once a worker."""
+    """The codec of this process; built once a worker, or once more after tasks of another operator."""
+    common.begin("bpe")  # whoever encodes with it
     key = (path, pattern, remembered)
     if key not in _codecs:
         _codecs[key] = BytePairCodec.load(*key)
@@ -256,4 +257,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...]
                 made = [pa.array(np.asarray(n, np.int64)), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
                 yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *made], names=["doc_id", *carry, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, f"doc_id long{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(common.tidy("bpe", run), f"doc_id long{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,11 +7,13 @@ the hash of any byte span in constant time, so words, affixes and shingles need
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +149,49 @@ def remainder(mod: int):
     return F.expr(f"pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), {mod})")
 
 
+# --- memory of a worker -------------------------------------------------------------------------------------
+
+_caches: list[dict] = []
+_last = ""
+
+
+def cache() -> dict:
+    """A memory that lasts in a worker until a task of another operator begins there."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which the allocators would keep for a worker that may never need it again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def begin(operator: str) -> None:
+    """A task of the operator begins: what others remember goes, for workers outlive the stages that used them."""
+    global _last
+    if operator != _last:
+        _last = operator
+        for x in _caches:
+            x.clear()
+        gc.collect()
+        give_back()
+
+
+def tidy(operator: str, run: Callable) -> Callable:
+    """The same function for mapInArrow, which holds only its own operator's memory while it runs and only caches after it."""
+
+    def tidied(batches):
+        begin(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 # --- kernels ------------------------------------------------------------------------------------------------
 
 

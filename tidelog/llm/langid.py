@@ -215,7 +215,7 @@ def _rows(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFrame:
                 made = [pa.array(names, pa.string()), pa.array(score), pa.array(lettered & (score >= own.threshold))]
                 yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *made], names=["doc_id", *(f"c{i}" for i in range(len(carry))), "lang_pred", "score", "accepted"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.tidy("langid", run), schema)
 
 
 def keep(docs: DataFrame, learn_from, sample_rows: int = 3000) -> DataFrame:

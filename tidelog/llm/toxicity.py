@@ -303,7 +303,7 @@ def _rows(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFrame:
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(s), spans], names=["doc_id", *(f"c{i}" for i in range(len(carry))), "score", "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.tidy("toxicity", run), schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame, learn_from, threshold: float = 0.7) -> DataFrame:
